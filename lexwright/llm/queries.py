@@ -5,6 +5,8 @@ from __future__ import annotations
 from lexwright.llm import sql
 from lexwright.llm.common import table
 from lexwright.llm.licenses import scan_licenses
+from lexwright.llm.pii import pseudonymise
+from lexwright.llm.quality import judge_quality
 from lexwright.llm.urlfilter import judge_urls
 
 #: The rules of the output contract: (verdict, host, path).
@@ -21,9 +23,23 @@ def op4_url_filter(spark, sf_dir):
     return judge_urls(pages, URL_RULES).drop("url")
 
 
+def op9_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge_quality(docs)
+
+
+#: A key for the test tables; a real run passes its own.
+PII_KEY = "lexwright-demo-key"
+
+
+def op10_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PII_KEY)
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict:
-    return {"op2_license_scan": sql.license_scan(), "op4_url_filter": sql.urls(URL_RULES)}
+    return {"op2_license_scan": sql.license_scan(), "op4_url_filter": sql.urls(URL_RULES), "op10_pii": sql.pseudonyms(PII_KEY)}

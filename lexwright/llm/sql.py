@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexwright.llm import licenses
+from lexwright.llm import licenses, pii
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -50,3 +50,65 @@ WITH a AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\
 b AS (SELECT doc_id, w, {places}, {shares} FROM a)
 SELECT doc_id, len(w) AS n_words, len({every}) AS n_base, list_min({every}) AS first_word, greatest({last}) AS last_word,
   {names(base)} AS base_labels, {names(base + ', ' + more)} AS labels, greatest({', '.join(f's{k}' for k in range(len(licenses.TEMPLATES)))}) AS score FROM b"""
+
+
+def _f(key: str, kind: str, r: int, ra: str, rb: str, source: str) -> str:
+    return f"CAST('0x' || substr(sha256('{key}|{kind}|{r}|' || {ra} || '|' || {rb} || '|' || {source}), 1, 12) AS BIGINT)"
+
+
+def _rounds(cte: str, key: str, kind: str, ra: str, rb: str, rounds: int) -> str:
+    """A chain of subqueries over (m, a, b, ra, rb)."""
+    out = f"SELECT m, a, b, CAST({ra} AS BIGINT) AS ra, CAST({rb} AS BIGINT) AS rb FROM {cte}"
+    for r in range(rounds):
+        a, b = (f"(a + {_f(key, kind, r, 'ra', 'rb', 'b')}) % ra", "b") if r % 2 == 0 else ("a", f"(b + {_f(key, kind, r, 'ra', 'rb', 'a')}) % rb")
+        out = f"SELECT m, {a} AS a, {b} AS b, ra, rb FROM ({out})"
+    return out
+
+
+def _luhn(text: str) -> str:
+    digit = f"CAST({text}[i] AS INTEGER)"
+    double = f"CASE WHEN (len({text}) - i) % 2 = 1 THEN CASE WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END ELSE {digit} END"
+    return f"list_sum(list_transform(range(1, len({text}) + 1), lambda i: {double}))"
+
+
+def pseudonyms(key: str) -> str:
+    """Distinct matches are permuted in a table of their own and joined back, unlike the query's in-row form."""
+    pat = pii.PLAIN_PATTERN
+    n = pii.ROUNDS
+    leap = "(y % 4 = 0 AND (y % 100 <> 0 OR y % 400 = 0))"
+    days = "[" + ", ".join(map(str, pii.DAYS_BEFORE)) + "]"
+    lap = lambda c: f"CAST('0x' || substr(sha256('{key}|leap|' || {c}), 1, 12) AS BIGINT)"
+    first = "CASE WHEN c % 400 = 0 THEN 0 ELSE 1 END"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+found AS (SELECT rid, regexp_extract_all(text, '{pat}') AS ms, string_split_regex(text, '{pat}') AS ps FROM docs WHERE regexp_matches(text, '[0-9@]')),
+hits AS (SELECT rid, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM found),
+vals AS (SELECT DISTINCT m, replace(m, '-', '') AS digits FROM hits),
+dated AS (SELECT m, CAST(substr(m, 1, 4) AS INTEGER) AS y, CAST(substr(m, 6, 2) AS INTEGER) AS mo, CAST(substr(m, 9, 2) AS INTEGER) AS d FROM vals WHERE regexp_full_match(m, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')),
+okdate AS (SELECT * FROM dated WHERE y >= 100 AND mo BETWEEN 1 AND 12 AND d >= 1 AND d <= CASE WHEN mo IN (4, 6, 9, 11) THEN 30 WHEN mo = 2 THEN CASE WHEN {leap} THEN 29 ELSE 28 END ELSE 31 END),
+kinds AS (SELECT m, digits, CASE WHEN contains(m, '@') THEN 'email'
+  WHEN regexp_full_match(m, '\\+[0-9]{{1,3}} \\([0-9]{{3}}\\) [0-9]{{3}}-[0-9]{{4}}') THEN 'phone'
+  WHEN regexp_full_match(m, '[0-9]{{13,19}}|[0-9]{{4}}-[0-9]{{4}}-[0-9]{{4}}-[0-9]{{4}}') AND {_luhn("(CASE WHEN regexp_full_match(digits, '[0-9]+') THEN digits ELSE '0' END)")} % 10 = 0 THEN 'card'
+  WHEN regexp_full_match(m, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}') AND list_max(list_transform(string_split(m, '.'), lambda x: TRY_CAST(x AS INTEGER))) <= 255 THEN 'ip'
+  WHEN m IN (SELECT m FROM okdate) THEN 'date'
+  WHEN regexp_full_match(m, '[0-9A-Fa-f]{{32,64}}') AND regexp_matches(m, '[0-9]') THEN 'secret' END AS kind FROM vals),
+nums AS (SELECT m, kind, CASE WHEN kind = 'card' THEN left(digits, len(digits) - 1) ELSE regexp_replace(regexp_extract(m, '\\(.*$'), '[^0-9]', '', 'g') END AS s FROM kinds WHERE kind IN ('card', 'phone')),
+ab AS (SELECT m, kind, len(s) // 2 AS u, len(s) - len(s) // 2 AS v, CAST(left(s, len(s) // 2) AS BIGINT) AS a, CAST(substr(s, len(s) // 2 + 1) AS BIGINT) AS b FROM nums),
+numbers AS (SELECT ab.m, ab.kind, lpad(CAST(x.a AS VARCHAR), CAST(u AS INTEGER), '0') || lpad(CAST(x.b AS VARCHAR), CAST(v AS INTEGER), '0') AS p FROM ab JOIN (
+  {_rounds("ab WHERE kind = 'card'", key, 'card', 'pow(10, u)', 'pow(10, v)', n)} UNION ALL {_rounds("ab WHERE kind = 'phone'", key, 'phone', 'pow(10, u)', 'pow(10, v)', n)}) x USING (m)),
+cards AS (SELECT m, p || CAST((10 - {_luhn("(p || '0')")} % 10) % 10 AS VARCHAR) AS c FROM numbers WHERE kind = 'card'),
+ips AS (SELECT m, o[1] * 256 + o[2] AS a, o[3] * 256 + o[4] AS b FROM (SELECT m, list_transform(string_split(m, '.'), lambda x: CAST(x AS BIGINT)) AS o FROM kinds WHERE kind = 'ip')),
+ydays AS (SELECT m, y - y % 100 AS c, y % 100 AS a, {days}[mo] + d - 1 + CASE WHEN {leap} AND mo > 2 THEN 1 ELSE 0 END AS b FROM okdate),
+dates AS (SELECT m, strftime(make_date(CAST(c + x.a AS INTEGER), 1, 1) + CAST(x.b AS INTEGER), '%Y-%m-%d') AS r
+  FROM (SELECT m, c FROM ydays WHERE b < 365) JOIN ({_rounds("ydays WHERE b < 365", key, 'date', '100', '365', n)}) x USING (m)
+  UNION ALL SELECT m, lpad(CAST(c + 4 * ((a // 4 - ({first}) + {lap('c')}) % (25 - ({first})) + ({first})) AS VARCHAR), 4, '0') || '-12-31' FROM ydays WHERE b = 365),
+made AS (
+  SELECT m, kind, 'u' || substr(sha256('{key}|email|' || m), 1, 16) || '@pseudonym.invalid' AS r FROM kinds WHERE kind = 'email'
+  UNION ALL SELECT m, kind, regexp_extract(m, '^\\+[0-9]+') || ' (' || substr(p, 1, 3) || ') ' || substr(p, 4, 3) || '-' || substr(p, 7, 4) FROM numbers WHERE kind = 'phone'
+  UNION ALL SELECT m, 'card', CASE WHEN contains(m, '-') THEN concat_ws('-', substr(c, 1, 4), substr(c, 5, 4), substr(c, 9, 4), substr(c, 13, 4)) ELSE c END FROM cards
+  UNION ALL SELECT m, 'ip', concat_ws('.', a // 256, a % 256, b // 256, b % 256) FROM ({_rounds('ips', key, 'ip', '65536', '65536', n)})
+  UNION ALL SELECT m, 'date', r FROM dates
+  UNION ALL SELECT m, kind, CASE WHEN m = upper(m) THEN upper(substr(sha256('{key}|secret|' || m), 1, len(m))) ELSE substr(sha256('{key}|secret|' || m), 1, len(m)) END FROM kinds WHERE kind = 'secret'),
+parts AS (SELECT rid, string_agg(ps[i] || coalesce(r, m), '' ORDER BY i) || any_value(ps[len(ps)]) AS body, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.KINDS)}
+  FROM hits JOIN found USING (rid) LEFT JOIN made USING (m) GROUP BY rid)
+SELECT doc_id, coalesce(body, text) AS text, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)} FROM docs LEFT JOIN parts USING (rid)"""

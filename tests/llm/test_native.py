@@ -1,0 +1,144 @@
+"""URL filter, license scan, quality rules and PII against plain Python, with the awkward rows."""
+
+import re
+from collections import Counter
+
+import pytest
+
+from lexwright.llm import licenses, pii, quality
+from lexwright.llm.urlfilter import judge_urls
+
+TEXTS = [
+    None, "", " ", "\n\t\x0b", "a", "a b c", "a b c d", "a b c a b c a b c", "x " * 120, "line one\nline one\n\n \nline two\nline one",
+    "Under the MIT License under the mit license!", "APACHE license,version 2.0 and CC-BY-NC 4", "éÉ ünder the mit license é", "word " * 60 + "#*$%&|<>" * 3,
+    "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "the the the of of of", "tab\tsep\x1cnot\xa0sep x", "a b c d " * 20,
+    "Permission is hereby granted, free of charge, to any person", "n o\r\nn o\r\nn o", "very long " * 30000,
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "x", 0) for i, t in enumerate(TEXTS)] + [(4, "a", "dup", 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, label string, n_words long").repartition(3)
+
+
+def brute_quality(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts(docs):
+    got = quality.judge_quality(docs).collect()
+    assert len(got) == len(TEXTS) + 1
+    for r in got:
+        want = brute_quality(TEXTS[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, TEXTS[r.doc_id]
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r.base_failed and r.kept) and 0 <= r.quality <= 1
+
+
+def test_quality_empty_and_tables(spark, docs, sf_dir):
+    assert quality.judge_quality(docs.limit(0)).count() == 0
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: brute_quality(r.text) for r in rows.collect()}
+    for r in quality.judge_quality(rows).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want[r.doc_id]
+
+
+def test_em_recovers_planted_accuracies():
+    import random
+
+    rng, counts, acc = random.Random(1), Counter(), [0.9, 0.75, 0.85, 0.7]
+    for _ in range(20000):
+        y = 1 if rng.random() < 0.7 else -1
+        counts[tuple(0 if rng.random() < 0.2 else (y if rng.random() < a else -y) for a in acc)] += 1
+    prior, got = quality.fit(counts, 200)
+    assert abs(prior - 0.7) < 0.05
+    assert all(abs(g - a) < 0.05 and abs(b - a) < 0.05 for (g, b), a in zip(got, acc))
+
+
+def brute_licenses(t):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    places = [(i, label) for p, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    at = [i for i, _ in places]
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_licenses(docs):
+    got = licenses.scan_licenses(docs).collect()
+    assert len(got) == len(TEXTS) + 1 and {r.label for r in got} == {"x", "dup"}
+    by = {}
+    for r in got:
+        by[r.doc_id] = r
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_licenses(TEXTS[r.doc_id]), TEXTS[r.doc_id]
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert by[15].labels == "gpl-3" and by[15].score == 1 and by[0].labels == ""
+    assert by[14].labels == "apache-2" and by[14].score == 1
+    assert by[19].labels == "mit" and 0.6 < by[19].score < 1
+
+
+URLS = [
+    None, "", "nothing", "http://", "https://A.Example.ORG/es/1?x", "http://example.org/en/12", "http://example.org/en/2", "https://notexample.org/es/", "https://example.com/fr/x#y", "ftp://x.com/de/", "http://com/de/",
+    "http://a..b.com?/de/", "http://x.org", "http://example.org/es/#", "a://b://c.org/d", "http://example.net/de/",
+]
+
+
+def brute_url(u, rules):
+    rest = u.split("://", 1)[1] if u and "://" in u else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fit = [(len(h + p), v == "block", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fit)[2:] if fit else (None, "allow")))
+
+
+def test_urls(spark):
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("block", "net", "")]
+    pages = spark.createDataFrame([(i, u, "keep", "mine") for i, u in enumerate(URLS)] + [(5, URLS[5], "keep", "mine")], "page_id long, url string, extra string, host string")
+    got = judge_urls(pages, rules).collect()
+    assert len(got) == len(URLS) + 1
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == brute_url(URLS[r.page_id], rules), URLS[r.page_id]
+    assert judge_urls(pages.limit(0), rules).count() == 0
+    assert {r.verdict for r in judge_urls(pages, []).collect()} == {"allow"}
+
+
+PII = "mail me@x.example.com or é.y@mail.com. 4111111111111111 4111-1111-1111-1111 4111111111111112 +1 (301) 555-0346 10.0.0.1 300.1.1.1 2024-02-29 2023-02-29 1999-12-31 2024-12-31 token = \"34cf1be9225426587b06121cb35ab512e5a1b000\" end."
+
+
+def luhn(s):
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0
+
+
+def test_pii(spark):
+    rows = [(0, PII), (1, PII + PII), (2, None), (3, ""), (4, "no data"), (5, "4111111111111111"), (6, "a" * 200000 + "@x.com"), (6, "1" * 50000)]
+    d = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_card long")
+    got = sorted(pii.pseudonymise(d, "k").collect(), key=lambda r: (r.doc_id, r.n_card))
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and by[2].text is None and by[3].text == "" and by[4].text == "no data" and "1" * 50000 in [r.text for r in got]
+    one = by[0]
+    assert (one.n_email, one.n_phone, one.n_card, one.n_ip, one.n_date, one.n_secret) == (2, 1, 2, 1, 3, 1)
+    assert by[1].text == one.text + one.text  # equal values, equal pseudonyms
+    for gone in ("me@x", "é.y@", "4111111111111111", "4111-", "+1 (301) 555-0346", " 10.0.0.1 ", "2024-02-29", "1999-12-31", "34cf1be9"):
+        assert gone not in one.text
+    for stays in ("4111111111111112", "300.1.1.1", "2023-02-29", "mail ", " end."):
+        assert stays in one.text
+    card, dashed = re.findall(r" (\d{16}) (\d{4}-\d{4}-\d{4}-\d{4}) 4111111111111112", one.text)[0]
+    assert luhn(card) and dashed.replace("-", "") == card == by[5].text
+    assert pii.pseudonymise(d.limit(0), "k").count() == 0
+    other = {r.doc_id: r.text for r in pii.pseudonymise(d, "k2").collect()}
+    assert other[5] != card
+
+
+def test_pii_is_a_bijection(spark):
+    from pyspark.sql import functions as F
+
+    days = spark.range(36525).select(F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
+    out = pii.pseudonymise(days, "k").select("text").distinct()
+    assert out.count() == 36525 and out.where(F.col("text").cast("date").isNull()).count() == 0
+    cards = spark.range(0, 10**4).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("t"))
+    digits = cards.select(pii._digits(F.col("t"), "k", "card").alias("p"))
+    assert digits.distinct().count() == 10**4
