@@ -5,8 +5,10 @@ from __future__ import annotations
 from lexwright.llm import sql
 from lexwright.llm.common import table
 from lexwright.llm.licenses import scan_licenses
+from lexwright.llm.packing import best_fit
 from lexwright.llm.pii import pseudonymise
 from lexwright.llm.quality import judge_quality
+from lexwright.llm.tokens import read_tokens, write_tokens
 from lexwright.llm.urlfilter import judge_urls
 
 #: The rules of the output contract: (verdict, host, path).
@@ -18,6 +20,23 @@ def op2_license_scan(spark, sf_dir):
     return scan_licenses(docs).drop("text")
 
 
+def vocabulary() -> str:
+    """Place of the byte-level vocabulary that the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_token_ids(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_tokens(write_tokens(docs, vocabulary(), end_id=0))
+
+
+def op6_best_fit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return best_fit(docs, vocabulary(), capacity=1024, end_id=2)
+
+
 def op4_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, URL_RULES).drop("url")
