@@ -18,7 +18,8 @@ KINDS = ("email", "phone", "card", "ip", "date", "secret")
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 #: One token pattern; what it catches is validated afterwards and left alone if it isn't valid.
 EMAIL = r"@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
-REST = r"|\+[0-9]{1,3} \([0-9]+\) [0-9]+-[0-9]+|[0-9A-Fa-f]{32,}|[0-9]+(?:[.-][0-9]+)*"
+ASSIGNED = "(?i:password|passwd|secret|token|api_key)="
+REST = rf"|{ASSIGNED}[0-9A-Za-z]{{6,64}}|AKIA[0-9A-Z]{{16}}" + r"|\+[0-9]{1,3} \([0-9]+\) [0-9]+-[0-9]+|[0-9A-Fa-f]{32,}|[0-9]+(?:[.-][0-9]+)*"
 #: The look-behind and the possessive run keep the scan linear on long runs; what matches is the same without them.
 PATTERN = rf"(?<!{_LOCAL}){_LOCAL}++{EMAIL}{REST}"
 PLAIN_PATTERN = rf"{_LOCAL}+{EMAIL}{REST}"
@@ -118,6 +119,7 @@ def kind_of(m: Column) -> Column:
         .when(card & F.when(card, _luhn(digits) % 10 == 0).otherwise(False), "card")
         .when(ip & F.when(ip, F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)).otherwise(False), "ip")
         .when(_is_date(m), "date")
+        .when(m.rlike(rf"^{ASSIGNED}") | m.rlike("^AKIA[0-9A-Z]{16}$"), "secret")
         .when(m.rlike(r"^[0-9A-Fa-f]{32,}$") & m.rlike("[0-9]") & (F.length(m) <= 64), "secret")
     )
 
@@ -138,11 +140,14 @@ def pseudonym(m: Column, key: str) -> Column:
         lambda s: F.concat_ws(".", *[F.shiftright(s[h], b).bitwiseAND(F.lit(255)).cast("string") for h in ("a", "b") for b in (8, 0)]),
     )
     email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), m), 256), 1, 16), F.lit("@pseudonym.invalid"))
-    secret = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), m), 256), F.lit(1), F.length(m))
+    named = F.regexp_extract(m, "^(?:[A-Za-z_]+=|AKIA)", 0)
+    value = F.substring(m, F.length(named) + 1, F.length(m))
+    digest = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), value), 256), F.lit(1), F.length(value))
+    secret = F.concat(named, F.when(value == F.upper(value), F.upper(digest)).otherwise(digest))
     return _let(
         F.coalesce(kind, F.lit("")),
         lambda k: F.when(k == "email", email).when(k == "phone", _let(_digits(F.translate(F.regexp_extract(m, r"\(.*$", 0), "() -", ""), key, "phone"), phone)).when(k == "card", card).when(k == "ip", ip)
-        .when(k == "date", _date(m, key)).when(k == "secret", F.when(m == F.upper(m), F.upper(secret)).otherwise(secret)).otherwise(m),
+        .when(k == "date", _date(m, key)).when(k == "secret", secret).otherwise(m),
     )
 
 
@@ -152,7 +157,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Numbers keep their format: card numbers (13 to 19 digits, also in dashed fours) pass
     the Luhn test before and after, IPv4 addresses and dates (YYYY-MM-DD, years from 100)
     stay valid, phone numbers keep the country code.  Email addresses become a keyed name
-    at pseudonym.invalid, secrets (32 to 64 hex digits) a keyed digest of their length.
+    at pseudonym.invalid, secrets (32 to 64 hex digits, values assigned to password, token and the like, AWS-style
+    key ids) a keyed digest of their length.
     Invalid look-alikes stay as they are.  A null text stays null with counts 0; columns of
     these names are replaced.
     """

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from lexwright.llm import sql
+from lexwright.llm import classifier, sql
 from lexwright.llm.common import table
+from lexwright.llm.decontam import contained
 from lexwright.llm.licenses import scan_licenses
 from lexwright.llm.packing import best_fit
 from lexwright.llm.pii import pseudonymise
@@ -42,6 +43,17 @@ def op4_url_filter(spark, sf_dir):
     return judge_urls(pages, URL_RULES).drop("url")
 
 
+def op5_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contained(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.fit(docs, classifier.grades_of(table(spark, sf_dir, "labels")), classifier.GRADES)
+    return classifier.grade(docs, model).drop("text")
+
+
 def op9_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge_quality(docs)
@@ -61,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_license_scan": sql.license_scan(), "op4_url_filter": sql.urls(URL_RULES), "op10_pii": sql.pseudonyms(PII_KEY)}
+    return {"op2_license_scan": sql.license_scan(), "op4_url_filter": sql.urls(URL_RULES), "op5_decontaminate": sql.containment(), "op10_pii": sql.pseudonyms(PII_KEY)}

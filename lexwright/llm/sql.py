@@ -91,6 +91,7 @@ kinds AS (SELECT m, digits, CASE WHEN contains(m, '@') THEN 'email'
   WHEN regexp_full_match(m, '[0-9]{{13,19}}|[0-9]{{4}}-[0-9]{{4}}-[0-9]{{4}}-[0-9]{{4}}') AND {_luhn("(CASE WHEN regexp_full_match(digits, '[0-9]+') THEN digits ELSE '0' END)")} % 10 = 0 THEN 'card'
   WHEN regexp_full_match(m, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}') AND list_max(list_transform(string_split(m, '.'), lambda x: TRY_CAST(x AS INTEGER))) <= 255 THEN 'ip'
   WHEN m IN (SELECT m FROM okdate) THEN 'date'
+  WHEN regexp_matches(m, '^{pii.ASSIGNED}') OR regexp_full_match(m, 'AKIA[0-9A-Z]{{16}}') THEN 'secret'
   WHEN regexp_full_match(m, '[0-9A-Fa-f]{{32,64}}') AND regexp_matches(m, '[0-9]') THEN 'secret' END AS kind FROM vals),
 nums AS (SELECT m, kind, CASE WHEN kind = 'card' THEN left(digits, len(digits) - 1) ELSE regexp_replace(regexp_extract(m, '\\(.*$'), '[^0-9]', '', 'g') END AS s FROM kinds WHERE kind IN ('card', 'phone')),
 ab AS (SELECT m, kind, len(s) // 2 AS u, len(s) - len(s) // 2 AS v, CAST(left(s, len(s) // 2) AS BIGINT) AS a, CAST(substr(s, len(s) // 2 + 1) AS BIGINT) AS b FROM nums),
@@ -108,7 +109,23 @@ made AS (
   UNION ALL SELECT m, 'card', CASE WHEN contains(m, '-') THEN concat_ws('-', substr(c, 1, 4), substr(c, 5, 4), substr(c, 9, 4), substr(c, 13, 4)) ELSE c END FROM cards
   UNION ALL SELECT m, 'ip', concat_ws('.', a // 256, a % 256, b // 256, b % 256) FROM ({_rounds('ips', key, 'ip', '65536', '65536', n)})
   UNION ALL SELECT m, 'date', r FROM dates
-  UNION ALL SELECT m, kind, CASE WHEN m = upper(m) THEN upper(substr(sha256('{key}|secret|' || m), 1, len(m))) ELSE substr(sha256('{key}|secret|' || m), 1, len(m)) END FROM kinds WHERE kind = 'secret'),
+  UNION ALL SELECT m, kind, p || CASE WHEN v = upper(v) THEN upper(substr(sha256('{key}|secret|' || v), 1, len(v))) ELSE substr(sha256('{key}|secret|' || v), 1, len(v)) END
+    FROM (SELECT m, kind, regexp_extract(m, '^(?:[A-Za-z_]+=|AKIA)') AS p, substr(m, len(regexp_extract(m, '^(?:[A-Za-z_]+=|AKIA)')) + 1) AS v FROM kinds WHERE kind = 'secret')),
 parts AS (SELECT rid, string_agg(ps[i] || coalesce(r, m), '' ORDER BY i) || any_value(ps[len(ps)]) AS body, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.KINDS)}
   FROM hits JOIN found USING (rid) LEFT JOIN made USING (m) GROUP BY rid)
 SELECT doc_id, coalesce(body, text) AS text, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)} FROM docs LEFT JOIN parts USING (rid)"""
+
+
+def _shingled(name: str, key: str, table: str, width: int = 5) -> str:
+    words = f"regexp_extract_all({FOLD}, '[^\\x20\\x09-\\x0D]+')"
+    return f"""{name} AS (SELECT DISTINCT rid, {key}, unnest(CASE WHEN len(w) >= {width} THEN list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s FROM (SELECT row_number() OVER () AS rid, {key}, {words} AS w FROM {table}))"""
+
+
+def containment(share_percent: int = 80) -> str:
+    return f"""
+WITH {_shingled('d', 'doc_id', 'documents')}, {_shingled('b', 'item_id', 'benchmark')},
+n AS (SELECT rid, count(*) AS n_item FROM b GROUP BY rid)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / CAST(n_item AS DOUBLE) AS containment FROM (
+  SELECT d.rid AS x, b.rid AS rid, any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY 1, 2) JOIN n USING (rid)
+WHERE 100 * n_shared >= {share_percent} * n_item"""
