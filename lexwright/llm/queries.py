@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexwright.llm import classifier, sql
+from lexwright.llm import classifier, near, sql
 from lexwright.llm.common import table
 from lexwright.llm.decontam import contained
 from lexwright.llm.licenses import scan_licenses
@@ -54,6 +54,11 @@ def op7_quality_classifier(spark, sf_dir):
     return classifier.grade(docs, model).drop("text")
 
 
+def op8_near_duplicates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near.classify(docs, near.Settings(percent=85))
+
+
 def op9_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge_quality(docs)
