@@ -9,6 +9,7 @@ from lexwright.llm.licenses import scan_licenses
 from lexwright.llm.packing import best_fit
 from lexwright.llm.pii import pseudonymise
 from lexwright.llm.quality import judge_quality
+from lexwright.llm.suffixes import dedup_bytes
 from lexwright.llm.tokens import read_tokens, write_tokens
 from lexwright.llm.urlfilter import judge_urls
 
@@ -16,6 +17,11 @@ from lexwright.llm.urlfilter import judge_urls
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_bytes(docs)
+
+
 def op2_license_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).drop("text")
