@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ _UNIT = re.compile(f"[{_W}]?[^{_W}]+|[{_W}]+(?=[{_W}][^{_W}])|[{_W}]+")
 #: Characters on which libraries differ, and the special token's own string: such texts are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85᠎​]|<\\|")
 _STEM = re.compile(f"([{_W}]?)(\\w+)([^\\w{_W}]*)")
-CACHE = 300_000
+#: Pieces that a worker remembers; the last full generation stays at hand, so that frequent ones are never lost.
+CACHE = 400_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -49,7 +51,9 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
+        self.old_cache: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -59,9 +63,15 @@ class Encoder:
         found = self.parts.get(text)
         if found is None:
             if len(self.parts) >= CACHE:
-                self.parts.clear()
-            as_letters = "".join(map(self.letters.__getitem__, text.encode()))
-            found = self.parts[text] = np.asarray([t.id for t in self.tokenizer.model.tokenize(as_letters)], dtype="<u4").tobytes()
+                self.parts, self.old_parts = {}, self.parts
+            found = self.old_parts.get(text)
+            if found is None:
+                if text.isascii():  # letters stand for themselves
+                    as_letters = "\u0120" + text[1:] if text[0] == " " else text if text.isprintable() else "".join(map(self.letters.__getitem__, text.encode()))
+                else:
+                    as_letters = "".join(map(self.letters.__getitem__, text.encode()))
+                found = array("I", [t.id for t in self.tokenizer.model.tokenize(as_letters)]).tobytes()
+            self.parts[text] = found
         return found
 
     def _unit(self, text: str) -> bytes:
@@ -84,10 +94,11 @@ class Encoder:
             return b"".join(map(cache.__getitem__, units))
         except KeyError:
             if len(cache) >= CACHE:
-                cache.clear()
+                cache, self.old_cache = {}, cache
+                self.cache = cache
             for u in units:
                 if u not in cache:
-                    cache[u] = self._unit(u)
+                    cache[u] = self.old_cache.get(u) or self._unit(u)
             return b"".join(map(cache.__getitem__, units))
 
 
