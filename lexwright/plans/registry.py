@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexwright.plans import lookup
+from lexwright.plans import lookup, retrieve, texts, tree, versions
 
-_MODULES = [lookup]
+_MODULES = [lookup, tree, versions, texts, retrieve]
 
 
 def queries() -> dict:
