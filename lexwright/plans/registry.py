@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexwright.plans import lookup, retrieve, texts, tree, versions
+from lexwright.plans import lookup, retrieve, statutes, texts, tree, versions
 
-_MODULES = [lookup, tree, versions, texts, retrieve]
+_MODULES = [lookup, tree, versions, texts, retrieve, statutes]
 
 
 def queries() -> dict:
