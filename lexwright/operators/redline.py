@@ -178,3 +178,18 @@ def amend_sections(parsed: DataFrame, sections: DataFrame) -> DataFrame:
         return pd.DataFrame([{"bill_id": pdf["bill_id"].iloc[0], "section_path": pdf["section_path"].iloc[0], "before": before, "after": text, "n_edits": len(edits), "n_applied": len(edits) - len(issues), "issues": issues}])
 
     return both.select("bill_id", "section_path", "position", "edits", "body").groupBy("bill_id", "section_path").applyInPandas(run, AMENDED)
+
+
+def discover_instructions(paragraphs: DataFrame) -> DataFrame:
+    """(bill_id, paragraph, text) of a bill's paragraphs to its instructions: (bill_id, position, first, last, text).
+
+    Instructions never overlap: a paragraph that one has taken starts no other.  One bill is one group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("paragraph")
+        texts, numbers = [t or "" for t in pdf["text"]], list(pdf["paragraph"])
+        found = [(str(pdf["bill_id"].iloc[0]), k, int(numbers[a]), int(numbers[b]), "\n".join(texts[a : b + 1])) for k, (a, b) in enumerate(amendments.spans(texts))]
+        return pd.DataFrame(found, columns=["bill_id", "position", "first", "last", "text"])
+
+    return paragraphs.groupBy("bill_id").applyInPandas(run, "bill_id string, position int, first int, last int, text string")

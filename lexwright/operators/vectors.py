@@ -44,3 +44,30 @@ def section_vectors(sections: DataFrame, quick: int = 1400, size: int = 1200, mo
         ),
     )
     return full.select("id", F.explode(texts).alias("v")).select("id", "v.*")
+
+
+def top_k_distinct(vectors: DataFrame, query: list[float], k: int, by: str, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """The k best groups by their best vector: as many as asked for, unlike deduplication after a cut at k."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    scored = vectors.select(by, key, F.round(cosine(F.col(vector), q), 4).alias("score"))
+    return best_per(scored, by, tie=key).orderBy(F.desc("score"), key).limit(k)
+
+
+def merged_hits(searches: list[DataFrame], key: str = "vec_id") -> DataFrame:
+    """Hits of several searches, the best score of each."""
+    out = searches[0].select(key, "score")
+    for s in searches[1:]:
+        out = out.unionByName(s.select(key, "score"))
+    return out.groupBy(key).agg(F.max("score").alias("score"), F.count("*").alias("n_searches"))
+
+
+def compact_matches(hits: DataFrame, most: int = 160) -> DataFrame:
+    """(id, label, snippet, score) of hits with citation, name and text: what a model is shown."""
+    label = F.concat_ws(" - ", F.when(F.col("heading_citation") != "", F.col("heading_citation")), F.when(F.col("name") != "", F.col("name")))
+    return hits.select("id", F.when(label == "", F.col("id")).otherwise(label).alias("label"), F.substring("text", 1, most).alias("snippet"), F.round("score", 4).alias("score"))
+
+
+def first_known(read: DataFrame, matches: DataFrame, fetched: DataFrame, key: str = "id") -> DataFrame:
+    """Ids that were read, with the text of an earlier match, else of what was fetched."""
+    a, b = matches.select(key, F.col("text").alias("__a")), fetched.select(key, F.col("text").alias("__b"))
+    return read.join(a, key, "left").join(b, key, "left").select(key, F.coalesce("__a", "__b").alias("text"))

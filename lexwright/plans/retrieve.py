@@ -29,6 +29,16 @@ def vector_scores(spark, d):
     return e.groupBy("label").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
+def vector_top_k_distinct(spark, d):
+    return vectors.top_k_distinct(S.table(spark, d, "embeddings"), _query(spark, d), 8, "label")
+
+
+def vector_merged(spark, d):
+    e = S.table(spark, d, "embeddings")
+    qs = [r[0] for r in e.orderBy("vec_id").limit(3).select("embedding").collect()]  # three query vectors
+    return vectors.merged_hits([vectors.top_k(e, q, 15) for q in qs])
+
+
 _COS = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 4)"
 _HITS = f"(SELECT e.vec_id, e.label, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q)"
 
@@ -150,6 +160,9 @@ QUERIES = {
     "vector_top_k": (vector_top_k, f"SELECT vec_id, label, score FROM {_HITS} ORDER BY score DESC, vec_id LIMIT 20"),
     "vector_best_per_label": (vector_best_per_label, f"SELECT label, score, vec_id FROM (SELECT * FROM {_HITS} ORDER BY score DESC, vec_id LIMIT 100) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1"),
     "vector_scores": (vector_scores, f"SELECT label, count(*) AS n, max(score) AS best FROM {_HITS} GROUP BY label"),
+    "vector_top_k_distinct": (vector_top_k_distinct, f"SELECT label, score, vec_id FROM (SELECT * FROM {_HITS} QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1) ORDER BY score DESC, vec_id LIMIT 8"),
+    "vector_merged": (vector_merged, f"""SELECT vec_id, max(score) AS score, count(*) AS n_searches FROM (SELECT e.vec_id, {_COS} AS score, q.vec_id AS qid FROM embeddings e, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 3) q
+        QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 15) GROUP BY vec_id"""),
     "job_fold": (job_fold, JOB_FOLD_SQL),
     "job_list": (job_list, "SELECT user_id AS job_id, max(ts) AS updated_at, count(*) AS n_events FROM events GROUP BY 1 ORDER BY updated_at DESC, job_id LIMIT 100"),
     "carry_forward": (carried, "SELECT event_id, last_value(CASE WHEN event_id % 6 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events"),
