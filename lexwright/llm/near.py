@@ -7,8 +7,9 @@
    counting equal low bits (corrected for chance), then exactly.  Hot buckets cost one
    comparison a member, and no task gathers a bucket.
 4. Links give components.  Only buckets that still hold several components go on: a pair of
-   at least the threshold must share one of its rarest shingles (prefix filter), so classes
-   of different components are joined on these and verified in the same way.
+   at least the threshold must share one of its rarest shingles, early enough in both
+   (prefix and position filter), so classes of different components are joined on these
+   and verified in the same way.
 
 After step 4 every pair of texts that share a band bucket is either in one component or
 known not to be a link.  Nothing is capped or sampled.
@@ -143,7 +144,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, token): the n - ceil(t n) + 1 rarest shingles of each text, by their counts over the given texts."""
+    """(doc_id, n, token, pos): the n - ceil(t n) + 1 rarest of a text's n shingles, by their counts over the given texts."""
     small_batches(texts.sparkSession)
     width, percent = s.width, s.percent
 
@@ -162,7 +163,8 @@ def _prefixes(texts: DataFrame, s: Settings) -> DataFrame:
     n = F.size("t")
     need = n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 1
     # a token of one text only takes its place in the prefix, but can't make a pair
-    return ranked.select("doc_id", F.explode(F.filter(F.slice("t", 1, need), lambda x: x["df"] > 1)).alias("x")).select("doc_id", F.col("x.token").alias("token"))
+    placed = F.transform(F.slice("t", 1, need), lambda x, i: F.struct(x["df"].alias("df"), x["token"].alias("token"), i.alias("pos")))
+    return ranked.select("doc_id", n.alias("n"), F.explode(F.filter(placed, lambda x: x["df"] > 1)).alias("x")).select("doc_id", "n", "x.token", "x.pos")
 
 
 def classify(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -180,7 +182,7 @@ def classify(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_
     classes = full.join(copies, "digest", "left").withColumn("class", F.coalesce("class", "doc_id"))
     heads = classes.where("doc_id = class").dropDuplicates(["doc_id", "digest"])
     banded = written(heads.select("doc_id", F.explode("bands").alias("key")), "bands")
-    shared = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
+    shared = written(banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low"), "shared")
     members = written(banded.join(shared, "key"), "members")
     planes = heads.select("doc_id", *PLANES)
     stars = written(_likely(members.where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct(), planes, s), "stars")
@@ -197,9 +199,11 @@ def classify(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_
     prefix = written(_prefixes(texts.join(open_ids.select("doc_id"), "doc_id", "left_semi"), s).join(open_ids, "doc_id"), "prefixes")
     spread = prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
     prefix = prefix.join(spread, "token", "left_semi")
-    left = prefix.select("token", F.col("doc_id").alias("a"), F.col("component").alias("x"))
-    right = prefix.select("token", F.col("doc_id").alias("b"), F.col("component").alias("y"))
-    across = left.join(right, "token").where("x < y").select(F.col("b").alias("a"), F.col("a").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    left = prefix.select("token", F.col("doc_id").alias("a"), F.col("component").alias("x"), (F.col("n") - F.col("pos")).alias("rest_a"), F.col("n").alias("n_a"))
+    right = prefix.select("token", F.col("doc_id").alias("b"), F.col("component").alias("y"), (F.col("n") - F.col("pos")).alias("rest_b"), F.col("n").alias("n_b"))
+    # from a pair's first common shingle on, at most the shorter rest can be common; later ones have shorter rests
+    enough = F.least("rest_a", "rest_b") * (100 + s.percent) >= s.percent * (F.col("n_a") + F.col("n_b"))
+    across = left.join(right, "token").where((F.col("x") < F.col("y")) & enough).select(F.col("b").alias("a"), F.col("a").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = written(_verified(written(_likely(across, planes, s), "across"), texts, s), "more")
 
     edges = links.unionAll(more).unionAll(copy_links)
