@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,6 +65,12 @@ class Hashed:
     def extension(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Length of the common extension of the suffixes a and b, at most limit, by binary search."""
         lo, hi = np.zeros(len(a), np.int64), limit.copy()
+        whole = self.of(a, limit) == self.of(b, limit)
+        if whole.any():  # alike to the end: nothing to search
+            lo[whole] = limit[whole]
+            rest = np.flatnonzero(~whole)
+            lo[rest] = self.extension(a[rest], b[rest], limit[rest]) if len(rest) else 0
+            return lo
         for _ in range(int(limit.max(initial=0)).bit_length()):
             mid = (lo + hi + 1) >> 1
             same = self.of(a, mid) == self.of(b, mid)
@@ -390,24 +397,29 @@ def _decided(s: Settings):
     """Sort the suffixes of a bucket; answer each block with the starts whose string has a smaller document."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        notes, runs, texts, homes = [], [], [], []
+        held = defaultdict(list)  # still compressed; one bucket at a time is opened
         for batch in batches:
-            for block, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = zstandard.ZstdDecompressor().decompress(data)
-                c, t = struct.unpack_from("<ii", data)
-                at = 8
-                three = np.frombuffer(data, "<i4", 3 * c, at).reshape(3, c).astype(np.int64)
-                at += 12 * c
-                two = np.frombuffer(data, "<i8", 2 * t, at).reshape(2, t)
-                at += 16 * t
-                four = np.frombuffer(data, "<i4", 4 * t, at).reshape(4, t).astype(np.int64)
-                at += 16 * t
-                notes.append(np.concatenate((np.full((1, c), block), three)))
-                runs.append(np.concatenate((two, four)))
-                homes.append(np.full(t, block))
-                texts.append(np.frombuffer(data, np.uint8, -1, at))
-        if not runs:
-            return
+            for bucket, block, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                held[bucket].append((block, data))
+        for bucket in sorted(held):
+            yield from one(held.pop(bucket))
+
+    def one(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        notes, runs, texts, homes = [], [], [], []
+        for block, data in rows:
+            data = zstandard.ZstdDecompressor().decompress(data)
+            c, t = struct.unpack_from("<ii", data)
+            at = 8
+            three = np.frombuffer(data, "<i4", 3 * c, at).reshape(3, c).astype(np.int64)
+            at += 12 * c
+            two = np.frombuffer(data, "<i8", 2 * t, at).reshape(2, t)
+            at += 16 * t
+            four = np.frombuffer(data, "<i4", 4 * t, at).reshape(4, t).astype(np.int64)
+            at += 16 * t
+            notes.append(np.concatenate((np.full((1, c), block), three)))
+            runs.append(np.concatenate((two, four)))
+            homes.append(np.full(t, block))
+            texts.append(np.frombuffer(data, np.uint8, -1, at))
         note_block, note_slot, note_start, note_n = np.concatenate(notes, axis=1)
         note_mask = (np.int64(1) << note_n) - 1
         key, doc, slot, start, n, lead = np.concatenate(runs, axis=1)
@@ -415,34 +427,36 @@ def _decided(s: Settings):
         size = n + s.length - 1
         begin = np.cumsum(size) - size
         text = Hashed(raw)
-        # groups in which all strings are alike need no sort: their common extension is the whole
-        mark = text.of(begin, size)
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        heads = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-        members = np.diff(np.concatenate((heads, [len(k)])))
-        alike = np.ones(len(k), bool)
-        if len(k):
+        # equal runs are one class, answered by its smallest document; only one of a class is sorted
+        mark = mix(text.of(begin, size) + lead.astype(np.uint64) + (n.astype(np.uint64) << np.uint64(8)))
+        mask = np.zeros(len(key), np.int64)
+        if len(key):
+            order = np.lexsort((doc, mark, key))
             prev, here = order[:-1], order[1:]
-            close = (k[1:] == k[:-1]) & (mark[here] == mark[prev]) & (lead[here] == lead[prev]) & (n[here] == n[prev])
+            close = (key[here] == key[prev]) & (mark[here] == mark[prev]) & (lead[here] == lead[prev]) & (n[here] == n[prev])
             close[close] = _same_runs(raw, begin[here[close]], begin[prev[close]], size[here[close]])
-            alike[1:] = close | (k[1:] != k[:-1])
-            whole = np.repeat(np.logical_and.reduceat(alike, heads), members)
-            low = np.repeat(np.minimum.reduceat(doc[order], heads), members)
-        mask = np.zeros(len(k), np.int64)
-        if len(k):
-            plain = order[whole]
-            mask[plain] = np.where(low[whole] < doc[plain], (np.int64(1) << n[plain]) - 1, 0)
-            open_ = np.sort(order[~whole])
+            heads = np.flatnonzero(np.concatenate(([True], ~close)))
+            chief = np.empty(len(key), np.int64)
+            chief[order] = np.repeat(order[heads], np.diff(np.concatenate((heads, [len(key)]))))
+            later = doc > doc[chief]
+            mask[later] = (np.int64(1) << n[later]) - 1
+            # a class that is alone with its anchor has no other string to be equal to
+            chiefs = order[heads]
+            k = key[chiefs]
+            new = np.concatenate(([True], k[1:] != k[:-1]))
+            number = np.cumsum(new) - 1
+            several = np.bincount(number)[number] > 1
+            open_, number = chiefs[several], number[several]
             m = n[open_]
             run = np.repeat(np.arange(len(open_)), m)
             inner = np.arange(len(run)) - np.repeat(np.cumsum(m) - m, m)
             # strings can be equal only at the same distance from the same anchor
-            _, number = np.unique(key[open_], return_inverse=True)
             group = number[run] * np.int64(s.length + 1) + (lead[open_][run] - inner)
             owner = doc[open_][run]
             first = first_owner(text, begin[open_][run] + inner, group, owner, s.length)
-            np.bitwise_or.at(mask, open_[run], np.where(first < owner, np.int64(1) << inner, 0))
+            own = np.zeros(len(key), np.int64)
+            np.bitwise_or.at(own, open_[run], np.where(first < owner, np.int64(1) << inner, 0))
+            mask = np.where(later, mask, own[chief])
         hit = mask != 0
         block, slot, start, mask = (np.concatenate((a, b)) for a, b in ((note_block, home[hit]), (note_slot, slot[hit]), (note_start, start[hit]), (note_mask, mask[hit])))
         rows = [(b, zstandard.compress(struct.pack("<i", len(at)) + slot[at].astype("<i4").tobytes() + start[at].astype("<i4").tobytes() + mask[at].astype("<u4").tobytes(), 1)) for b, at in _by_bucket(block)]
