@@ -44,6 +44,7 @@ class Settings:
     gram: int = 24
     block_bytes: int = 8 << 20  # text in a block: what a task holds at a time
     slice_bytes: int = 1 << 20
+    piece_bytes: int = 2 << 20  # text whose suffixes are hashed and sorted at a time
     hot_blocks: int = 2000  # from so many blocks on, an anchor is dealt out by its strings
 
 
@@ -393,6 +394,43 @@ def _same_runs(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
     return out
 
 
+def _answers(raw, size, key, doc, n, lead, s: Settings) -> np.ndarray:
+    """For each run (their bytes one after another in raw) the bits of the starts whose string has a smaller document."""
+    begin = np.cumsum(size) - size
+    text = Hashed(raw)
+    # equal runs are one class, answered by its smallest document; only one of a class is sorted
+    mark = mix(text.of(begin, size) + lead.astype(np.uint64) + (n.astype(np.uint64) << np.uint64(8)))
+    mask = np.zeros(len(key), np.int64)
+    if len(key):
+        order = np.lexsort((doc, mark, key))
+        prev, here = order[:-1], order[1:]
+        close = (key[here] == key[prev]) & (mark[here] == mark[prev]) & (lead[here] == lead[prev]) & (n[here] == n[prev])
+        close[close] = _same_runs(raw, begin[here[close]], begin[prev[close]], size[here[close]])
+        heads = np.flatnonzero(np.concatenate(([True], ~close)))
+        chief = np.empty(len(key), np.int64)
+        chief[order] = np.repeat(order[heads], np.diff(np.concatenate((heads, [len(key)]))))
+        later = doc > doc[chief]
+        mask[later] = (np.int64(1) << n[later]) - 1
+        # a class that is alone with its anchor has no other string to be equal to
+        chiefs = order[heads]
+        k = key[chiefs]
+        new = np.concatenate(([True], k[1:] != k[:-1]))
+        number = np.cumsum(new) - 1
+        several = np.bincount(number)[number] > 1
+        open_, number = chiefs[several], number[several]
+        m = n[open_]
+        run = np.repeat(np.arange(len(open_)), m)
+        inner = np.arange(len(run)) - np.repeat(np.cumsum(m) - m, m)
+        # strings can be equal only at the same distance from the same anchor
+        group = number[run] * np.int64(s.length + 1) + (lead[open_][run] - inner)
+        owner = doc[open_][run]
+        first = first_owner(text, begin[open_][run] + inner, group, owner, s.length)
+        own = np.zeros(len(key), np.int64)
+        np.bitwise_or.at(own, open_[run], np.where(first < owner, np.int64(1) << inner, 0))
+        mask = np.where(later, mask, own[chief])
+    return mask
+
+
 def _decided(s: Settings):
     """Sort the suffixes of a bucket; answer each block with the starts whose string has a smaller document."""
 
@@ -426,37 +464,12 @@ def _decided(s: Settings):
         home, raw = np.concatenate(homes), np.concatenate(texts)
         size = n + s.length - 1
         begin = np.cumsum(size) - size
-        text = Hashed(raw)
-        # equal runs are one class, answered by its smallest document; only one of a class is sorted
-        mark = mix(text.of(begin, size) + lead.astype(np.uint64) + (n.astype(np.uint64) << np.uint64(8)))
         mask = np.zeros(len(key), np.int64)
-        if len(key):
-            order = np.lexsort((doc, mark, key))
-            prev, here = order[:-1], order[1:]
-            close = (key[here] == key[prev]) & (mark[here] == mark[prev]) & (lead[here] == lead[prev]) & (n[here] == n[prev])
-            close[close] = _same_runs(raw, begin[here[close]], begin[prev[close]], size[here[close]])
-            heads = np.flatnonzero(np.concatenate(([True], ~close)))
-            chief = np.empty(len(key), np.int64)
-            chief[order] = np.repeat(order[heads], np.diff(np.concatenate((heads, [len(key)]))))
-            later = doc > doc[chief]
-            mask[later] = (np.int64(1) << n[later]) - 1
-            # a class that is alone with its anchor has no other string to be equal to
-            chiefs = order[heads]
-            k = key[chiefs]
-            new = np.concatenate(([True], k[1:] != k[:-1]))
-            number = np.cumsum(new) - 1
-            several = np.bincount(number)[number] > 1
-            open_, number = chiefs[several], number[several]
-            m = n[open_]
-            run = np.repeat(np.arange(len(open_)), m)
-            inner = np.arange(len(run)) - np.repeat(np.cumsum(m) - m, m)
-            # strings can be equal only at the same distance from the same anchor
-            group = number[run] * np.int64(s.length + 1) + (lead[open_][run] - inner)
-            owner = doc[open_][run]
-            first = first_owner(text, begin[open_][run] + inner, group, owner, s.length)
-            own = np.zeros(len(key), np.int64)
-            np.bitwise_or.at(own, open_[run], np.where(first < owner, np.int64(1) << inner, 0))
-            mask = np.where(later, mask, own[chief])
+        # hashing takes some 40 bytes a byte, so a large bucket is answered in pieces; a key is in one piece
+        piece = (mix(mix(key.view(np.uint64)) + np.uint64(7)) % np.uint64(1 + len(raw) // s.piece_bytes)).astype(np.int64)
+        for _, at in _by_bucket(piece):
+            span = np.arange(size[at].sum()) + np.repeat(begin[at] - (np.cumsum(size[at]) - size[at]), size[at])
+            mask[at] = _answers(raw[span], size[at], key[at], doc[at], n[at], lead[at], s)
         hit = mask != 0
         block, slot, start, mask = (np.concatenate((a, b)) for a, b in ((note_block, home[hit]), (note_slot, slot[hit]), (note_start, start[hit]), (note_mask, mask[hit])))
         rows = [(b, zstandard.compress(struct.pack("<i", len(at)) + slot[at].astype("<i4").tobytes() + start[at].astype("<i4").tobytes() + mask[at].astype("<u4").tobytes(), 1)) for b, at in _by_bucket(block)]

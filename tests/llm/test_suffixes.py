@@ -82,7 +82,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("s", [Settings(), Settings(block_bytes=4000, slice_bytes=1000), Settings(block_bytes=2000, slice_bytes=500, hot_blocks=2)])
+@pytest.mark.parametrize("s", [Settings(), Settings(block_bytes=4000, slice_bytes=1000), Settings(block_bytes=2000, slice_bytes=500, hot_blocks=2, piece_bytes=700)])
 def test_dedup(spark, s):
     rows = corpus()
     d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_bytes int").repartition(4)
