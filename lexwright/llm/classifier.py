@@ -179,6 +179,7 @@ def fit_rows(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs
     free = np.concatenate((theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))))
     h2 = np.full(grades - 1, 1e-2)
     rng = np.random.default_rng(seed)
+    epochs = max(epochs, min(200, 20_000 // max(1, len(rows))))  # few rows need more rounds
     for epoch in range(epochs):
         for i in rng.permutation(len(rows)):
             y, dim, value = rows[i]
