@@ -119,7 +119,7 @@ def labels(spark, d):
 
 def _statutes(spark, d):
     i = F.col("doc_id").cast("string")
-    text = F.concat(F.lit("See chapter "), i, F.lit("A, section 7 and section "), i, F.lit("b of chapter 12. RSA "), i, F.lit("-A:3-b or rsa 5:6; Section 44c, § 9. "), F.substring("text", 1, 200))
+    text = F.concat(F.lit("See chapter "), i, F.lit("A, section 7 and section "), i, F.lit("b of chapter 12. RSA "), i, F.lit("-A:3-b or rsa 5:6; Section 44c, § 9. "), "text")
     return S.table(spark, d, "documents").select("doc_id", text.alias("body"))
 
 
