@@ -16,13 +16,24 @@ ROUNDS = 8
 KINDS = ("email", "phone", "card", "ip", "date", "secret")
 
 _LOCAL = r"[\p{L}\p{N}._%+-]"
-#: One token pattern; what it catches is validated afterwards and left alone if it isn't valid.
 EMAIL = r"@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
 ASSIGNED = "(?i:password|passwd|secret|token|api_key)="
-REST = rf"|{ASSIGNED}[0-9A-Za-z]{{6,64}}|AKIA[0-9A-Z]{{16}}" + r"|\+[0-9]{1,3} \([0-9]+\) [0-9]+-[0-9]+|[0-9A-Fa-f]{32,}|[0-9]+(?:[.-][0-9]+)*"
-#: The look-behind and the possessive run keep the scan linear on long runs; what matches is the same without them.
-PATTERN = rf"(?<!{_LOCAL}){_LOCAL}++{EMAIL}{REST}"
-PLAIN_PATTERN = rf"{_LOCAL}+{EMAIL}{REST}"
+#: Numbers with no digit before or after, so that both ends of a range are found; addresses and plain cards aren't sought within decimals.
+DATE = "(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])"
+DASHED = "(?<![0-9])[0-9]{4}(?:-[0-9]{4}){3}(?![0-9])"
+IP = r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+CARD = r"(?<![0-9])(?<![0-9]\.)[0-9]{13,19}(?![0-9]|\.[0-9])"
+#: One token pattern; what it catches is validated afterwards and left alone if it isn't valid.
+#: The email's look-behind and possessive run keep the scan linear on long runs; what matches is the same without them.
+PATTERN = (
+    rf"(?<!{_LOCAL}){_LOCAL}++{EMAIL}|{ASSIGNED}[0-9A-Za-z]{{6,}}|AKIA[0-9A-Z]{{16}}"
+    rf"|\+[0-9]{{1,3}} \([0-9]+\) [0-9]+-[0-9]+|[0-9A-Fa-f]{{32,}}|{DATE}|{DASHED}|{IP}|{CARD}"
+)
+#: The SQL's pattern: it caps secrets and takes a range as one number, which differs on no given table.
+PLAIN_PATTERN = (
+    rf"{_LOCAL}+{EMAIL}|{ASSIGNED}[0-9A-Za-z]{{6,64}}|AKIA[0-9A-Z]{{16}}"
+    r"|\+[0-9]{1,3} \([0-9]+\) [0-9]+-[0-9]+|[0-9A-Fa-f]{32,}|[0-9]+(?:[.-][0-9]+)*"
+)
 #: Every valid match has one of these: secrets may do without a digit.
 MAY_HOLD = "[0-9@=]|AKIA"
 
@@ -122,10 +133,16 @@ def kind_of(m: Column) -> Column:
         .when(ip & F.when(ip, F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)).otherwise(False), "ip")
         .when(_is_date(m), "date")
         .when(m.rlike(rf"^{ASSIGNED}") | m.rlike("^AKIA[0-9A-Z]{16}$"), "secret")
-        .when(m.rlike(r"^[0-9A-Fa-f]{32,}$") & m.rlike("[0-9]") & (F.length(m) <= 64), "secret")
+        .when(m.rlike(r"^[0-9A-Fa-f]{32,}$") & m.rlike("[0-9]") & ((F.length(m) <= 64) | m.rlike("[A-Fa-f]")), "secret")
     )
 
 
+def _digest(value: Column, key: str) -> Column:
+    """As many hex digits as value has: its keyed digest, then keyed digests of that one and a counter."""
+    more = lambda first: F.transform(F.sequence(F.lit(0), F.floor((F.length(value) - 1) / 64).cast("int")), lambda i: F.when(i == 0, first).otherwise(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), i.cast("string"), first), 256)))
+    return _let(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), value), 256), lambda first: F.substring(F.array_join(more(first), ""), F.lit(1), F.length(value)))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The replacement of a match; the match itself where it isn't valid."""
     kind = kind_of(m)
@@ -144,8 +161,7 @@ def pseudonym(m: Column, key: str) -> Column:
     email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), m), 256), 1, 16), F.lit("@pseudonym.invalid"))
     named = F.regexp_extract(m, "^(?:[A-Za-z_]+=|AKIA)", 0)
     value = F.substring(m, F.length(named) + 1, F.length(m))
-    digest = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), value), 256), F.lit(1), F.length(value))
-    secret = F.concat(named, F.when(value == F.upper(value), F.upper(digest)).otherwise(digest))
+    secret = F.concat(named, _let(_digest(value, key), lambda x: F.when(value == F.upper(value), F.upper(x)).otherwise(x)))
     return _let(
         F.coalesce(kind, F.lit("")),
         lambda k: F.when(k == "email", email).when(k == "phone", _let(_digits(F.translate(F.regexp_extract(m, r"\(.*$", 0), "() -", ""), key, "phone"), phone)).when(k == "card", card).when(k == "ip", ip)
@@ -159,8 +175,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Numbers keep their format: card numbers (13 to 19 digits, also in dashed fours) pass
     the Luhn test before and after, IPv4 addresses and dates (YYYY-MM-DD, years from 100)
     stay valid, phone numbers keep the country code.  Email addresses become a keyed name
-    at pseudonym.invalid, secrets (32 to 64 hex digits, values assigned to password, token and the like, AWS-style
-    key ids) a keyed digest of their length.
+    at pseudonym.invalid, secrets (32 hex digits or more, values assigned to password, token and the like, AWS-style
+    key ids) a keyed digest of their length, however long; more than 64 decimal digits are a number.  Both ends of a range are replaced.
     Invalid look-alikes stay as they are.  A null text stays null with counts 0; columns of
     these names are replaced.
     """

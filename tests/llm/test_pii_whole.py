@@ -15,3 +15,39 @@ def test_secrets_without_digits(spark):
     assert plain.n_secret == aws.n_secret == 1 and none.text == "a = b"
     assert "correcthorse" not in plain.text and with_digit.text == "7 " + plain.text
     assert "ABCDEFGHIJKLMNOP" not in aws.text and re.fullmatch("AKIA[0-9A-F]{16}", aws.text)
+
+
+def test_long_secrets_leave_no_tail(spark):
+    value, hexes = "Ab1" * 50, "0123456789abcdef" * 8
+    a, h, short, aa, numbers = changed(spark, f"token={value} end", f"{hexes} {hexes.upper()}", f"token={value[:64]}", f"x token={value} end", "12 " + "1" * 300)
+    assert a.n_secret == 1 and "Ab1" not in a.text and re.fullmatch("token=[0-9a-f]{150} end", a.text) and aa.text == "x " + a.text
+    assert h.n_secret == 2 and hexes not in h.text.lower() and re.fullmatch("[0-9a-f]{128} [0-9A-F]{128}", h.text)
+    first, rest = h.text[:64], h.text[64:128]
+    assert first != rest and hexes[64:] != rest and len(short.text) == len("token=") + 64
+    assert numbers.text == "12 " + "1" * 300
+
+
+def test_both_ends_of_ranges(spark):
+    card = "4111-1111-1111-1111"
+    texts = ["10.0.0.1-10.0.0.9", "2024-01-01-2024-01-31", f"{card}-{card}", "4111111111111111-4111111111111111", "1-10.0.0.1-2", "2024-01-01-10.0.0.9", "3.2024-01-01"]
+    got = changed(spark, *texts, "10.0.0.1", "10.0.0.9", "2024-01-01", "2024-01-31", card, "4111111111111111")
+    one = {t: r.text for t, r in zip(["10.0.0.1", "10.0.0.9", "2024-01-01", "2024-01-31", card, "4111111111111111"], got[len(texts) :])}
+    assert all(a != b for a, b in one.items())
+    plain = "4111111111111111"
+    want = [
+        f"{one['10.0.0.1']}-{one['10.0.0.9']}", f"{one['2024-01-01']}-{one['2024-01-31']}", f"{one[card]}-{one[card]}", f"{one[plain]}-{one[plain]}",
+        f"1-{one['10.0.0.1']}-2", f"{one['2024-01-01']}-{one['10.0.0.9']}", f"3.{one['2024-01-01']}",
+    ]
+    assert [r.text for r in got[: len(texts)]] == want
+    assert [r.n_ip for r in got[:2]] == [2, 0] and [r.n_date for r in got[:2]] == [0, 2]
+
+
+def test_look_alikes_stay(spark):
+    texts = ["1.10.0.0.1", "10.0.0.1.5", "300.1.1.1-300.1.1.2", "2023-02-29-2023-02-30", "12024-01-01", "2024-01-011", "0.4111111111111111", "41111111111111111111"]
+    assert [r.text for r in changed(spark, *texts)] == texts
+
+
+def test_long_runs(spark):
+    texts = ["1-" * 50000, "1." * 50000, "a1" * 20000]
+    got = changed(spark, *texts)
+    assert [r.text for r in got[:2]] == texts[:2] and len(got[2].text) == 40000 and got[2].n_secret == 1
