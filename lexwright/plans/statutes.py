@@ -9,15 +9,16 @@ from lexwright.operators import packs, redline
 from lexwright.plans import standins as S
 
 
-def _cited(spark, d):
+def _cited(spark, d, *more):
+    """A made-up sentence for each document, followed by more."""
     i = F.col("doc_id").cast("string")
     text = F.concat(F.lit("See 42 U.S.C. "), i, F.lit(" and sections "), i, F.lit("a to "), i, F.lit("c, inclusive, of title 7; paragraph (2) of section 9. Under section "), i, F.lit("-5b and 1-2."))
-    return S.table(spark, d, "documents").select("doc_id", text.alias("body"))
+    return S.table(spark, d, "documents").select("doc_id", F.concat_ws(" ", text, *more).alias("body"))
 
 
 def usc_citations(spark, d):
-    t = _cited(spark, d).withColumn("title", F.lit("5"))
-    return explode_citations(t.withColumn("rs", usc_references("body", "title")), "doc_id", F.col("rs")).where("section NOT LIKE '%-%'").select("doc_id", "section", "title", "link", "length")
+    t = _cited(spark, d, "text").withColumn("title", F.lit("5"))
+    return explode_citations(t.withColumn("rs", usc_references("body", "title")), "doc_id", F.col("rs")).select("doc_id", "section", "title", "link", "length")
 
 
 def cgs_citations(spark, d):
