@@ -57,16 +57,21 @@ def ordinal_suffix(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(n == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("-"), n.cast("string"))))
 
 
-def ancestors(nodes: DataFrame, most: int = 12) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """(id, ancestor_id, distance): the node itself at 0, its parent at 1, up to the root.
 
-    The levels of statutes are few, so the walk is a loop of joins over the level's rows; it
-    ends when no row has a parent left.
+    The levels of statutes are few, so the walk is a loop of joins over the level's rows, each kept
+    for the next; it ends when no row has a parent left.  A node among its own ancestors is an error.
     """
     parent = nodes.select(F.col("id").alias("ancestor_id"), F.col("parent_id").alias("up"))
     level = nodes.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("distance"), F.col("parent_id").alias("up"))
-    out = level.drop("up")
-    for k in range(1, most + 1):
-        level = level.where("up IS NOT NULL").select("id", F.col("up").alias("ancestor_id")).join(parent, "ancestor_id").select("id", "ancestor_id", F.lit(k).alias("distance"), "up")
+    out, k = level.drop("up"), 0
+    while True:
+        k += 1
+        level = level.where("up IS NOT NULL").select("id", F.col("up").alias("ancestor_id")).join(parent, "ancestor_id").select("id", "ancestor_id", F.lit(k).alias("distance"), "up").localCheckpoint()
+        left, around = level.agg(F.count("*"), F.count(F.when(F.col("id") == F.col("ancestor_id"), 1))).first()
+        if around:
+            raise ValueError(f"{around} nodes are their own ancestors, {k} levels up")
+        if not left:
+            return out
         out = out.unionAll(level.drop("up"))
-    return out
