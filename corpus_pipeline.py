@@ -35,8 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts that contain a benchmark item (five words, 0.8 of its shingles)."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    """Drop texts that contain a benchmark item (five words, 0.8 of its shingles; shorter items as a whole)."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), short=True).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

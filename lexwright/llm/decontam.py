@@ -39,19 +39,24 @@ def item_blocks(items: DataFrame, item_id: str, text: str, share: float, width:
             for a, b in slices(texts):
                 h, doc = shingles(texts[a:b], width)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array([np.unique(h[i:j]).tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], names=["item_id", "hashes"])
-
-    rows = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("text")).mapInArrow(sets, "item_id long, hashes binary")
-    ids, own, size = [], [], 0
+                words = np.bincount(shingles(texts[a:b], 1)[1], minlength=b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[a:b], pa.int64()), pa.array([np.unique(h[i:j]).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array(np.minimum(words, width), pa.int32())],
+                    names=["item_id", "hashes", "words"],
+                )
+
+    rows = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("text")).mapInArrow(sets, "item_id long, hashes binary, words int")
+    ids, own, widths, size = [], [], set(), 0
     for r in rows.where(F.length("hashes") > 0).toLocalIterator():
         ids.append(r[0])
         own.append(np.frombuffer(r[1], np.uint64))
+        widths.add(r[2])
         size += len(r[1])
         if size >= limit:
-            yield _block(ids, own, share)
-            ids, own, size = [], [], 0
+            yield _block(ids, own, share) | {"widths": sorted(widths - {width})}
+            ids, own, widths, size = [], [], set(), 0
     if ids:
-        yield _block(ids, own, share)
+        yield _block(ids, own, share) | {"widths": sorted(widths - {width})}
 
 
 def _block(ids: list, sets: list[np.ndarray], share: float) -> dict:
@@ -66,11 +71,12 @@ def _block(ids: list, sets: list[np.ndarray], share: float) -> dict:
     return {"ids": ids, "sets": sets, "minima": minima[order], "of": of[order]}
 
 
-def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int = 5, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int = 5, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", short: bool = False) -> DataFrame:
     """Pairs (doc_id, item_id, n_item, n_shared, containment) with at least ``share`` of the item's distinct shingles in the document.
 
     Words are runs of other characters than ASCII white space, A-Z lower-cased.  An item with
-    fewer than ``width`` words is one shingle, which only a document of just these words has.
+    fewer than ``width`` words is one shingle, which only a document of just these words has; with
+    ``short`` every document has it in which these words follow each other.
     Null and wordless texts are in no pair.  Repeated rows give their pairs each.  Without
     items or documents there are no pairs.
     """
@@ -87,6 +93,11 @@ def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int
                 rows = []
                 for a, b in slices(texts):
                     h, doc = shingles(texts[a:b], width)
+                    if short and block["widths"]:  # a shingle of n words hashes as an item of just these
+                        parts = [(h, doc), *[shingles(texts[a:b], n) for n in block["widths"]]]
+                        h, doc = (np.concatenate(x) for x in zip(*parts))
+                        order = np.argsort(doc, kind="stable")
+                        h, doc = h[order], doc[order]
                     lo = np.searchsorted(minima, h)
                     hit = np.flatnonzero(minima[np.minimum(lo, len(minima) - 1)] == h)
                     if not len(hit):
@@ -114,7 +125,7 @@ def contained(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int
     return spark.createDataFrame([], pairs) if out is None else out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int = 5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.8, width: int = 5, short: bool = False) -> DataFrame:
     """docs without the rows in which an item is contained. The pairs are few; rows with a null doc_id stay."""
-    bad = contained(docs, items, share, width).select("doc_id").distinct()
+    bad = contained(docs, items, share, width, short=short).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti")

@@ -51,7 +51,7 @@ def op4_url_filter(spark, sf_dir):
 
 def op5_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contained(docs, table(spark, sf_dir, "benchmark"))
+    return contained(docs, table(spark, sf_dir, "benchmark"), short=True)
 
 
 def op7_quality_classifier(spark, sf_dir):
