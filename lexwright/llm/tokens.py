@@ -28,10 +28,13 @@ from lexwright.llm.common import small_batches, written
 _W = "\t\n\x0b\x0c\r \xa0  -     　"
 _UNIT = re.compile(f"[{_W}]?[^{_W}]+|[{_W}]+(?=[{_W}][^{_W}])|[{_W}]+")
 #: Characters on which libraries differ, and the special token's own string: such texts are encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​]|<\\|")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u180e", "\u200b", "<|")
 _STEM = re.compile(f"([{_W}]?)(\\w+)([^\\w{_W}]*)")
-#: Pieces that a worker remembers; the last full generation stays at hand, so that frequent ones are never lost.
-CACHE = 400_000
+#: Units (a word with what sticks to it) and parts that a worker remembers; a part costs more to encode. The last full
+#: generation stays at hand, so that frequent ones are never lost.
+UNITS, PARTS = 300_000, 500_000
+#: Longer pieces are encoded each time, so that what is remembered stays small.
+LONG = 200
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,6 +44,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Units(dict):
+    """Ids of the units seen so far; one that is missing comes from the generation before or is encoded."""
+
+    def __init__(self, encode, old: dict):
+        self.encode, self.old = encode, old
+
+    def next(self) -> _Units:
+        self.old = {}
+        return _Units(self.encode, self)
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.old.get(unit)
+        if found is None:
+            found = self.encode(unit)
+        if len(unit) <= LONG:
+            self[unit] = found
+        return found
+
+
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
 
@@ -50,56 +72,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.letters = _byte_letters()
-        self.cache: dict[str, bytes] = {}
-        self.old_cache: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
+        self.units = _Units(self._unit, {})
+        self.parts = _Units(self._part, {})
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _part(self, text: str) -> bytes:
         """A text that the pre-tokenizer leaves in one piece."""
-        found = self.parts.get(text)
-        if found is None:
-            if len(self.parts) >= CACHE:
-                self.parts, self.old_parts = {}, self.parts
-            found = self.old_parts.get(text)
-            if found is None:
-                if text.isascii():  # letters stand for themselves
-                    as_letters = "\u0120" + text[1:] if text[0] == " " else text if text.isprintable() else "".join(map(self.letters.__getitem__, text.encode()))
-                else:
-                    as_letters = "".join(map(self.letters.__getitem__, text.encode()))
-                found = array("I", [t.id for t in self.tokenizer.model.tokenize(as_letters)]).tobytes()
-            self.parts[text] = found
-        return found
+        if text.isascii() and text.isprintable():  # letters stand for themselves
+            as_letters = text.replace(" ", "\u0120")
+        else:
+            as_letters = "".join(map(self.letters.__getitem__, text.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(as_letters)]).tobytes()
 
     def _unit(self, text: str) -> bytes:
-        m = _STEM.fullmatch(text)
-        if not m or not m[2].isalpha() or len(text) > 200:
+        m = _STEM.fullmatch(text) if len(text) <= LONG else None
+        if not m or not m[2].isalpha():
             return self.whole(text)
         head, stem, tail = m.groups()
+        parts = self.parts
         if head not in ("", " "):
-            return self._part(head) + self._part(stem) + (self._part(tail) if tail else b"")
-        return self._part(head + stem) + (self._part(tail) if tail else b"")
+            return parts[head] + parts[stem] + (parts[tail] if tail else b"")
+        return parts[head + stem] + (parts[tail] if tail else b"")
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
+        if any(x in text for x in _ODD):
             return self.whole(text)
-        units = _UNIT.findall(text)
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, units))
-        except KeyError:
-            if len(cache) >= CACHE:
-                cache, self.old_cache = {}, cache
-                self.cache = cache
-            for u in units:
-                if u not in cache:
-                    cache[u] = self.old_cache.get(u) or self._unit(u)
-            return b"".join(map(cache.__getitem__, units))
+        if len(self.units) >= UNITS:
+            self.units = self.units.next()
+        if len(self.parts) >= PARTS:
+            self.parts = self.parts.next()
+        return b"".join(map(self.units.__getitem__, _UNIT.findall(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -119,9 +125,16 @@ def bits_for(vocabulary: int) -> int:
     return max(1, (max(vocabulary, 1) - 1).bit_length())
 
 
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
+
+
 def pack(ids: np.ndarray, bits: int) -> np.ndarray:
     """64 ids into ``bits`` 64-bit words, little-endian, first id in the lowest bits."""
     groups = -(-len(ids) // 64)
+    if bits in _WHOLE:  # ids lie side by side in the words
+        v = np.zeros(groups * 64, _WHOLE[bits])
+        v[: len(ids)] = ids
+        return v.view("<u8")
     v = np.zeros((groups, 64), np.uint64)
     v.reshape(-1)[: len(ids)] = ids
     out = np.zeros((groups, bits + 1), np.uint64)
@@ -135,6 +148,8 @@ def pack(ids: np.ndarray, bits: int) -> np.ndarray:
 
 def unpack(words: np.ndarray, bits: int, start: int, stop: int) -> np.ndarray:
     """Ids [start, stop) of a packed block; only the groups that hold them are read."""
+    if bits in _WHOLE:
+        return np.ascontiguousarray(words).view(_WHOLE[bits])[start:stop].astype(np.uint32)
     a, b = start // 64, -(-stop // 64)
     w = words[a * bits : b * bits].reshape(b - a, bits)
     out = np.empty((b - a, 64), np.uint32)
