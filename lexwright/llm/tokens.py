@@ -29,10 +29,12 @@ _W = "\t\n\x0b\x0c\r \xa0  -     　"
 _UNIT = re.compile(f"[{_W}]?[^{_W}]+|[{_W}]+(?=[{_W}][^{_W}])|[{_W}]+")
 #: Characters on which libraries differ, and the special token's own string: such texts are encoded whole.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u180e", "\u200b", "<|")
+_RARE = [chr(c) for c in range(0x3001) if re.match(f"[{_W}]", chr(c)) and chr(c) not in " \n"]
+_LONG_RUN = re.compile("[ \n]{3}|[ \n]{2}\\Z")
 _STEM = re.compile(f"([{_W}]?)(\\w+)([^\\w{_W}]*)")
 #: Units (a word with what sticks to it) and parts that a worker remembers; a part costs more to encode. The last full
 #: generation stays at hand, so that frequent ones are never lost.
-UNITS, PARTS = 300_000, 500_000
+UNITS, PARTS = 500_000, 400_000
 #: Longer pieces are encoded each time, so that what is remembered stays small.
 LONG = 200
 
@@ -72,7 +74,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.letters = _byte_letters()
-        self.units = _Units(self._unit, {})
+        self.units = _Units(lambda u: self._unit(u if u[:1] == "\n" else " " + u), {})  # by their text without the blank before it
         self.parts = _Units(self._part, {})
 
     def whole(self, text: str) -> bytes:
@@ -105,7 +107,21 @@ class Encoder:
             self.units = self.units.next()
         if len(self.parts) >= PARTS:
             self.parts = self.parts.next()
-        return b"".join(map(self.units.__getitem__, _UNIT.findall(text)))
+        if _plain(text):
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return (self._unit(first) if first else b"") + b"".join(map(self.units.__getitem__, rest))
+        return b"".join([self.units[u[1:]] if u[0] == " " and u[1:2] != "\n" else self._unit(u) for u in _UNIT.findall(text)])
+
+
+def _plain(text: str) -> bool:
+    """Whether all white space is blanks and line feeds, at most two in a row and one at the end.
+
+    The pre-tokenizer leaves the last character of a run to the word and takes the others as one piece, so
+    in such a text every blank and line feed opens a unit.
+    """
+    if any(w in text for w in _RARE):
+        return False
+    return not any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or not _LONG_RUN.search(text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
