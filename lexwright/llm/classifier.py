@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexwright.llm.common import mix, slices, small_batches, word_hashes
+from lexwright.llm.common import lists, mix, slices, word_hashes
 
 #: Hashed dimensions.  The last SHAPES ones are kept for measures of form.
 DIM, SHAPES = 1 << 16, 8
@@ -276,14 +276,12 @@ def fit(docs: DataFrame, graded: DataFrame, grades: int, sample: int = SAMPLE, t
     with a null or out-of-range grade are left out; with no rows left every text gets the
     same prior.
     """
-    small_batches(docs.sparkSession)
     g = graded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).where(F.col("grade").between(0, grades - 1) & F.col("doc_id").isNotNull())
     some = g.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ys, texts = (batch.column(k).to_pylist() for k in range(3))
+        for ids, ys, texts in lists(batches):
             for a, b in slices(texts):
                 at, dim, value = features(texts[a:b])
                 cut = np.searchsorted(at, np.arange(b - a + 1))
@@ -295,9 +293,27 @@ def fit(docs: DataFrame, graded: DataFrame, grades: int, sample: int = SAMPLE, t
                     names=["doc_id", "grade", "dims", "vals"],
                 )
 
-    got = sorted(tuple(r) for r in rows.mapInArrow(extract, "doc_id long, grade int, dims binary, vals binary").toLocalIterator())
-    # one more bound: a doc_id may stand in several rows
-    return fit_rows([(y, np.frombuffer(d, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for _, y, d, v in got[:sample]], grades)
+    # a doc_id may stand in several rows, so the rows are cut to the bound as well before they go to the driver
+    got = rows.mapInArrow(extract, "doc_id long, grade int, dims binary, vals binary").orderBy("doc_id", "grade", "dims", "vals").limit(sample).collect()
+    return fit_rows([(y, np.frombuffer(d, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for _, y, d, v in got], grades)
+
+
+def _tails(model: Model, texts: pa.Array) -> np.ndarray:
+    parts = [model.tails(texts.slice(a, 500).to_pylist()) for a in range(0, len(texts), 500)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(model.thresholds)))
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", least: int | None = None, keep: float = 0.5) -> DataFrame:
+    """The rows of docs that ``grade`` accepts, with the columns of docs whatever they are called."""
+    k = len(model.thresholds) - 1 if least is None else least - 1
+    at = docs.columns.index(text)
+    slim = Model(model.weights.astype(np.float32), model.thresholds)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_tails(slim, batch.column(at))[:, k] >= keep))
+
+    return docs.mapInArrow(choose, docs.schema)
 
 
 def grade(docs: DataFrame, model: Model, text: str = "text", least: int | None = None, keep: float = 0.5) -> DataFrame:
@@ -306,7 +322,6 @@ def grade(docs: DataFrame, model: Model, text: str = "text", least: int | None =
     Null and empty texts are scored like any other, on their missing words.  Columns of these
     names are replaced; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     new = ("expected_grade", "tail", "accepted")
     base = docs.drop(*[c for c in new if c != text])
     k = len(model.thresholds) - 1 if least is None else least - 1
@@ -316,7 +331,7 @@ def grade(docs: DataFrame, model: Model, text: str = "text", least: int | None =
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tails = slim.tails(batch.column(at).to_pylist())
+            tails = _tails(slim, batch.column(at))
             extra = [pa.array(tails.sum(1)), pa.array(tails[:, k]), pa.array(tails[:, k] >= keep)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*columns, *new])
 

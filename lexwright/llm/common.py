@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +25,24 @@ def ascii_lower(c: Column) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it names none."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Only a local master, whose driver and executors are one process, may do without it: a folder of its own
+    then serves.  Elsewhere a machine's own folder would lose rows, so there it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="lexwright-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="lexwright-"))
+        at = _OWN[0]
     return at.rstrip("/")
 
 
+_OWN: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df as a Parquet table in the scratch folder.
 
@@ -39,12 +51,36 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
 
+def forget(*tables: DataFrame) -> None:
+    """Delete scratch tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what an Arrow batch of long texts may take in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def free_name(wanted: str, taken: Iterable[str]) -> str:
+    """wanted, or what stands nearest to it that no column is called."""
+    low = {c.lower() for c in taken}
+    while wanted.lower() in low:
+        wanted = "_" + wanted
+    return wanted
+
+
+def lists(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[list[list]]:
+    """The columns of the batches as Python lists, so many rows at a time.
+
+    Spark bounds a batch in bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set); this bounds what
+    of it stands in Python objects as well.  The session's settings are left alone.
+    """
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield [c.to_pylist() for c in batch.slice(a, rows).columns]
 
 
 # --- word hashing over whole Arrow batches -------------------------------------------------------

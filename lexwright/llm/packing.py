@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexwright.llm.common import small_batches, written
+from lexwright.llm.common import lists, written
 from lexwright.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
@@ -28,7 +28,6 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, text: str
 
     Only documents longer than ``capacity`` are cut, from their end: every piece but the first is full.
     """
-    small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -36,9 +35,9 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, text: str
         e, task = encoder(vocabulary), TaskContext.get().partitionId()
         end = np.asarray([end_id], "<u4").tobytes()
         seen = [0] * (capacity + 1)
-        for batch in batches:
+        for named, texts in lists(batches):
             rows = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for d, t in zip(named, texts):
                 ids = memoryview(e.encode(t) + end)
                 n = len(ids) // 4
                 a, b, piece = 0, (n - 1) % capacity + 1, 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexwright.llm.common import small_batches, written
+from lexwright.llm.common import lists, written
 
 #: White space as the pre-tokenizer's pattern has it.
 _W = "\t\n\x0b\x0c\r \xa0  -     　"
@@ -213,7 +213,6 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0, text: str =
     the same doc_id follow each other in order of their texts; null doc_ids come first.
     A text that is longer than a block gets a block of its own.  An empty table gives no blocks.
     """
-    small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -235,8 +234,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0, text: str =
                 names=["shard", "block", "first_doc", "last_doc", "n_docs", "start_in_shard", "n_tokens", "payload"],
             )
 
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for named, texts in lists(batches):
+            for d, t in zip(named, texts):
                 ids = e.encode(t) + end
                 names.append(d)
                 counts.append(len(ids) // 4)
@@ -258,7 +257,6 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
     Shards are ranges of doc_id in ascending order and few (one per writing task), so their
     totals are summed on the driver; blocks know their place in their shard.
     """
-    small_batches(blocks.sparkSession, 16)
     totals = sorted(blocks.groupBy("shard").agg(F.sum("n_tokens")).collect())
     base, at = {}, 0
     for shard, n in totals:
@@ -266,8 +264,8 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
         at += n
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, first, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for columns in lists(batches, 16):
+            for shard, first, data in zip(*columns):
                 names, offsets, words, bits = open_block(data)
                 starts, sums = offsets[:-1] + (base[shard] + first), []
                 step = 4096  # documents at a time, so that a block's ids are never held whole as text

@@ -54,21 +54,31 @@ def corpus(spark):
     return docs, items, spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, n_item long").repartition(4), spark.createDataFrame(items, "item_id long, text string")
 
 
-def test_containment(corpus, spark, monkeypatch):
+def test_containment(corpus, spark):
     docs, items, d, b = corpus
     sets = [(i, brute_set(t)) for i, t in items]
     want = sorted((k, i, len(s), len(s & own)) for k, t in docs for own in [brute_set(t)] for i, s in sets if s and 100 * len(s & own) >= 80 * len(s))
     assert any(n != m for _, _, n, m in want) and len(want) > 15
     assert sorted(tuple(r)[:4] for r in decontam.contained(d, b).collect()) == want
-    small = {k: v for k, v in enumerate(decontam.item_blocks(b, "item_id", "text", 0.8, 5, 1000))}
-    assert len(small) > 3  # blocks of bounded size ...
-    real = decontam.item_blocks
-    monkeypatch.setattr(decontam, "item_blocks", lambda *a: real(*a, 1000))
-    assert sorted(tuple(r)[:4] for r in decontam.contained(d, b).collect()) == want  # ... give the same pairs
-    monkeypatch.undo()
+    # too many items to send whole: joined, with the same pairs
+    assert sorted(tuple(r)[:4] for r in decontam.contained(d, b, limit=1000).collect()) == want
     assert decontam.contained(d.limit(0), b).count() == 0 and decontam.contained(d, b.limit(0)).count() == 0
     left = {r.doc_id for r in decontam.decontaminate(d, b).collect()}
     assert left == {k for k, _ in docs} - {k for k, *_ in want}
+    assert {r.doc_id for r in decontam.decontaminate(d, b, limit=1000).collect()} == left
+
+
+@pytest.mark.parametrize("limit", [decontam.BLOCK, 100])
+def test_rows_are_judged_one_by_one(spark, limit):
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"so {item} there", "a", b"1"), (1, "a clean text of the same number", "b", None), (None, item, "c", b"2"), (None, None, "d", b"3"), (2, "", None, b"4")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, item_id string, digest binary")
+    items = spark.createDataFrame([(7, item), (8, " ".join(f"v{i}" for i in range(30)))], "item_id long, text string")
+    out = decontam.decontaminate(d, items, limit=limit)
+    assert out.columns == d.columns and dict(out.dtypes) == dict(d.dtypes)
+    assert sorted((r.item_id or "", r.digest and bytes(r.digest)) for r in out.collect()) == [("", b"4"), ("b", None), ("d", b"3")]
+    short = spark.createDataFrame([(7, item), (8, "same number")], "item_id long, text string")
+    assert sorted(r.item_id or "" for r in decontam.decontaminate(d, short, limit=limit, short=True).collect()) == ["", "d"]
 
 
 def test_classifier_learns_order(spark):
