@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexwright.llm.common import _BYTE_KEY, mix, powers, small_batches, written
+from lexwright.llm.common import _BYTE_KEY, forget, lists, mix, powers, written
 
 
 @dataclass(frozen=True)
@@ -171,14 +171,13 @@ def open_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def blocks_of(docs: DataFrame, s: Settings, text: str, doc_id: str) -> DataFrame:
     """(block, payload): consecutive rows of a task, about block_bytes of text each."""
-    small_batches(docs.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         name, ids, parts, size = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for named, texts in lists(batches):
+            for d, t in zip(named, texts):
                 p = b"" if t is None else t.encode("utf-8", "surrogatepass")
                 if size and size + len(p) > s.block_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([pack_block(ids, parts)], pa.binary())], names=["block", "payload"])
@@ -264,8 +263,8 @@ def _told(buckets: int, s: Settings):
     """Pass 1: each block's anchor hashes, once each, those of several documents first."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for columns in lists(batches, 1):
+            for block, payload in zip(*columns):
                 keys, docs = [], []
                 for _, named, _, _, _, _, _, key, slot in runs_of(payload, s):
                     keys.append(key)
@@ -294,8 +293,8 @@ def _shared(s: Settings):
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, blocks, sure = [], [], []
-        for batch in batches:
-            for block, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for _, named, entries in lists(batches):
+            for block, data in zip(named, entries):
                 (n,) = struct.unpack_from("<i", data)
                 h = _unsix(data[4:])
                 keys.append(h)
@@ -324,8 +323,8 @@ def _sent(buckets: int, s: Settings):
     """Pass 2: the runs of shared anchors with their bytes, one for each string in the block; notices for the copies."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, payload, answers in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for columns in lists(batches, 1):
+            for block, payload, answers in zip(*columns):
                 parts = [struct.unpack_from("<i", x)[0] for x in answers]
                 hot = np.sort(np.concatenate([_unsix(x[4 : 4 + 6 * n]) for x, n in zip(answers, parts)]))
                 known = np.sort(np.concatenate([_unsix(x[4:]) for x in answers]))
@@ -436,8 +435,8 @@ def _decided(s: Settings):
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = defaultdict(list)  # still compressed; one bucket at a time is opened
-        for batch in batches:
-            for bucket, block, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for columns in lists(batches):
+            for bucket, block, data in zip(*columns):
                 held[bucket].append((block, data))
         for bucket in sorted(held):
             yield from one(held.pop(bucket))
@@ -484,8 +483,8 @@ def _finished(s: Settings, with_text: bool):
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload, answers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for _, payloads, sets in lists(batches, 1):
+            for payload, answers in zip(payloads, sets):
                 known, named, stops, raw = open_block(payload)
                 cover = np.zeros(len(raw) + 1, np.int32)
                 for data in answers or []:
@@ -527,11 +526,14 @@ def dedup_bytes(docs: DataFrame, s: Settings = Settings(), text: str = "text", d
     blocks = blocks_of(docs, s, text, doc_id)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count() // 4)
     buckets = 8 * parts
-    small_batches(spark, 2)
+    # blocks and what is said about them are dealt out alike, into as many parts: a task's share doesn't grow with the input
+    dealt = lambda: blocks.repartition(parts, "block")
     told = blocks.mapInArrow(_told(buckets, s), "bucket long, block long, data binary").repartition(parts, "bucket")
-    answers = told.mapInArrow(_shared(s), "block long, data binary")
+    answers = told.mapInArrow(_shared(s), "block long, data binary").repartition(parts, "block")
     answers = written(answers.groupBy("block").agg(F.collect_list("data").alias("answers")), "answers")
-    sent = blocks.join(answers, "block").mapInArrow(_sent(buckets, s), "bucket long, block long, data binary").repartition(parts, "bucket")
-    flags = written(sent.mapInArrow(_decided(s), "block long, data binary").groupBy("block").agg(F.collect_list("data").alias("answers")), "flags")
+    sent = dealt().join(answers.repartition(parts, "block"), "block").mapInArrow(_sent(buckets, s), "bucket long, block long, data binary").repartition(parts, "bucket")
+    flags = sent.mapInArrow(_decided(s), "block long, data binary").repartition(parts, "block")
+    flags = written(flags.groupBy("block").agg(F.collect_list("data").alias("answers")), "flags")
+    forget(answers)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * with_text
-    return blocks.join(flags, "block", "left").mapInArrow(_finished(s, with_text), schema)
+    return dealt().join(flags.repartition(parts, "block"), "block", "left").mapInArrow(_finished(s, with_text), schema)
