@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexwright.llm.common import written
+from lexwright.llm.common import forget, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -25,10 +25,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         # small star: every smaller neighbour, and the node itself, is tied to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
+        before = now
         now = written(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges"
         )
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        forget(before)
         if seen == state:
             break
         state = seen

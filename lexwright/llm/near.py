@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexwright.llm.common import mix, shingles, slices, small_batches, written
+from lexwright.llm.common import forget, lists, mix, shingles, slices, written
 from lexwright.llm.graph import components
 
 
@@ -70,14 +70,12 @@ PLANES = [f"p{k}" for k in range(8)]
 
 def signatures(docs: DataFrame, s: Settings, text: str, doc_id: str) -> DataFrame:
     """doc_id, n_shingles, digest, bands, p0..p7; digest and the rest are null for empty sets."""
-    small_batches(docs.sparkSession)
     k = s.rows * s.bands
     if k > 256:
         raise ValueError("at most 256 minima")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for ids, texts in lists(batches):
             for a, b in slices(texts):
                 h, doc = shingles(texts[a:b], s.width)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
@@ -114,17 +112,16 @@ def _likely(pairs: DataFrame, planes: DataFrame, s: Settings) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b) of which the whole shingle sets reach the threshold. b may be in very many pairs: it is dealt out in chunks."""
-    small_batches(pairs.sparkSession, 200)
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / s.chunk).alias("parts"))
-    dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).select("a", "b", "part")
+    # both sides of the join are read from tables, so that Spark can split a centre's rows over tasks
+    parts = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / s.chunk).alias("parts")).where("parts > 1"), "centres")
+    dealt = pairs.join(parts, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)))).select("a", "b", "part")
     members = dealt.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     centres = dealt.select("b", "part").distinct().join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     percent, width = s.percent, s.width
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, centre = None, None
-        for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
+        for a, b, ta, tb in lists(batches, 200):
             good = []
             for i, j in slices(ta, 1 << 18):
                 h, doc = shingles(ta[i:j], width)
@@ -145,12 +142,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 def _prefixes(texts: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, n, token, pos): the n - ceil(t n) + 1 rarest of a text's n shingles, by their counts over the given texts."""
-    small_batches(texts.sparkSession)
     width, percent = s.width, s.percent
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for ids, ts in lists(batches):
             for a, b in slices(ts):
                 h, doc = shingles(ts[a:b], width)
                 key = np.unique(np.stack((doc.astype(np.uint64), h)), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
@@ -196,9 +191,10 @@ def classify(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_
     at = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     open_ids = written(at.join(mixed, "key", "left_semi").select("doc_id", "component").distinct(), "open")
-    prefix = written(_prefixes(texts.join(open_ids.select("doc_id"), "doc_id", "left_semi"), s).join(open_ids, "doc_id"), "prefixes")
-    spread = prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    prefix = prefix.join(spread, "token", "left_semi")
+    raw_prefix = written(_prefixes(texts.join(open_ids.select("doc_id"), "doc_id", "left_semi"), s).join(open_ids, "doc_id"), "prefixes")
+    spread = raw_prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+    # written, so that the join below reads tables on both sides and Spark can split a common token over tasks
+    prefix = written(raw_prefix.join(spread, "token", "left_semi"), "prefixes")
     left = prefix.select("token", F.col("doc_id").alias("a"), F.col("component").alias("x"), (F.col("n") - F.col("pos")).alias("rest_a"), F.col("n").alias("n_a"))
     right = prefix.select("token", F.col("doc_id").alias("b"), F.col("component").alias("y"), (F.col("n") - F.col("pos")).alias("rest_b"), F.col("n").alias("n_b"))
     # from a pair's first common shingle on, at most the shorter rest can be common; later ones have shorter rests
@@ -207,7 +203,8 @@ def classify(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_
     more = written(_verified(written(_likely(across, planes, s), "across"), texts, s), "more")
 
     edges = links.unionAll(more).unionAll(copy_links)
-    final = components(edges)
+    final = written(components(edges), "components")
+    forget(copies, banded, shared, members, stars, texts, links, labels, open_ids, raw_prefix, prefix, more)
     out = sig.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
