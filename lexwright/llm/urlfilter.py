@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexwright.llm.common import ascii_lower
+from lexwright.llm.common import ascii_lower, written
 
 #: Rules are broadcast only below this many rows; beyond it the join is shuffled.
 BROADCAST_RULES = 100_000
@@ -62,6 +62,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
         .groupBy("__host", "__head")
         .agg(F.max(F.struct("size", "hard", "rule", "verdict")).alias("__won"))
     )
+    # read from a table, so that Spark can split the pages of a very common host over tasks
+    found = written(found, "rules")
     out = base.join(found, ["__host", "__head"], "left")
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     return out.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__won.rule").alias("rule"), F.coalesce("__won.verdict", F.lit(default)).alias("verdict"))
