@@ -2,8 +2,8 @@
 
 No Python runs on the executors.  Rules vote for, against or not at all; the votes
 are counted by pattern (at most 3**rules rows, whatever the corpus), expectation
-maximisation over these counts estimates each rule's accuracy, and the posterior
-quality probability, a logistic sum over the votes, decides.
+maximisation over these counts estimates how often each rule votes against good and bad
+texts, and the posterior quality probability, a logistic sum over the votes, decides.
 """
 
 from __future__ import annotations
@@ -50,53 +50,94 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def rules() -> dict[str, Column]:
-    """Each rule votes 1 (good), -1 (bad) or 0 (abstains)."""
-    vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
+    """Each rule votes 1 (good), -1 (bad) or 0 (abstains). What most texts are like anyway is no vote."""
+    vote = lambda bad, good=None: F.when(bad, -1).when(F.lit(False) if good is None else good, 1).otherwise(0)
     n, chars, symbols, lines, repeats = (F.col(c) for c in MEASURES)
     return {
-        "length": vote(n < 50, n >= 80),
+        "length": vote(n < 50, n >= 100),
         "word_size": vote((chars < 2 * n) | (chars > 15 * n), chars.between(3 * n, 10 * n)),
-        "symbols": vote(10 * symbols > n, 100 * symbols <= n),
-        "dup_lines": vote(lines * 60 > n, lines == 0),
-        "repeats": vote(4 * repeats > n, 10 * repeats <= n),
+        "symbols": vote(10 * symbols > n),
+        "dup_lines": vote(lines * 60 > n),
+        "repeats": vote(4 * repeats > n, 100 * repeats <= n),
     }
 
 
-def fit(counts: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[float, list[tuple[float, float]]]:
-    """EM for one hidden binary label: prior and each rule's (P(right | good), P(right | bad)) among its votes.
+#: What is taken to hold before anything is seen, and its weight as a share of the rows, so that it weighs the same at every
+#: size: the share of good texts, how often a rule votes against a good and a bad text, and for one that it doesn't vote
+#: against.  That rules seldom vote against good texts holds the hidden label to its meaning, so it weighs
+#: much; the rest is learned.
+PRIOR = (0.9, 1.0)
+AGAINST = ((0.005, 5.0), (0.3, 0.01))
+FAVOUR = ((0.6, 0.01), (0.4, 0.01))
 
-    Starts from a prior of 0.8 and accuracies of 0.8; one pseudo-count per cell keeps all within (0, 1).
+#: (P(against | good), P(against | bad)), (P(for | good, not against), P(for | bad, not against)) of a rule
+Accuracy = tuple[tuple[float, float], tuple[float, float]]
+
+
+def fit(counts: dict[tuple[int, ...], int], rounds: int = 200, starts: tuple[float, ...] = (0.9, 0.7, 0.97)) -> tuple[float, list[Accuracy]]:
+    """EM for one hidden binary label: the share of good texts, and each rule's accuracies in both classes.
+
+    Of several starts the one with the best posterior density is taken.  Beliefs weigh as shares
+    of the rows, so rules that often agree can't take the label over, and one that no other
+    rule ever joins isn't explained away.  Without rows the beliefs stay.
     """
-    k = len(next(iter(counts), ()))
-    prior, acc = 0.8, [(0.8, 0.8)] * k
-    for _ in range(rounds):
-        good = bad = 0.0
-        hit = [[1.0, 2.0, 1.0, 2.0] for _ in range(k)]
-        for votes, n in sorted(counts.items()):
-            p = posterior(votes, prior, acc)
-            good, bad = good + n * p, bad + n * (1 - p)
-            for h, v in zip(hit, votes):
-                if v:
-                    h[0] += n * p * (v > 0)
-                    h[1] += n * p
-                    h[2] += n * (1 - p) * (v < 0)
-                    h[3] += n * (1 - p)
-        prior = (good + 1) / (good + bad + 2)
-        # a rule may be weak but is never taken to vote against its own meaning
-        acc = [(max(0.5, h[0] / h[1]), max(0.5, h[2] / h[3])) for h in hit]
-    return prior, acc
-
-
-def log_odds(votes, prior: float, acc) -> float:
-    out = math.log(prior / (1 - prior))
-    for v, (g, b) in zip(votes, acc):
-        if v:
-            out += math.log(g / (1 - b)) if v > 0 else math.log((1 - g) / b)
-    return out
-
-
-def posterior(votes, prior: float, acc) -> float:
-    return 1 / (1 + math.exp(-log_odds(votes, prior, acc)))
+    k, total = len(next(iter(counts), ())), sum(counts.values())
+    best = None
+    for start in starts:
+        prior, seen, gain = start, [(tuple(p for p, _ in AGAINST), tuple(p for p, _ in FAVOUR))] * k, -math.inf
+        for _ in range(rounds):
+            now = total * _log_belief(prior, PRIOR) + sum(total * _log_belief(held[i][y], belief[y]) for held in seen for i, belief in enumerate((AGAINST, FAVOUR)) for y in (0, 1))
+            mass, against, favour = [0.0, 0.0], [[0.0, 0.0] for _ in range(k)], [[0.0, 0.0] for _ in range(k)]
+            for votes, n in sorted(counts.items()):
+                logs = [math.log(c) + sum(math.log(_chance(held, v, y)) for held, v in zip(seen, votes)) for y, c in enumerate((prior, 1 - prior))]
+                top = max(logs)
+                shares = [math.exp(x - top) for x in logs]
+                now += n * (top + math.log(sum(shares)))
+                for y, share in enumerate(shares):
+                    m = n * share / sum(shares)
+                    mass[y] += m
+                    for j, v in enumerate(votes):
+                        against[j][y] += m * (v < 0)
+                        favour[j][y] += m * (v > 0)
+            if now <= gain + 1e-9 * abs(gain):
+                break
+            gain = now
+            prior = _mean(mass[0], total, PRIOR, total)
+            seen = [
+                (tuple(_mean(a[y], mass[y], AGAINST[y], total) for y in (0, 1)), tuple(_mean(f[y], mass[y] - a[y], FAVOUR[y], total) for y in (0, 1)))
+                for a, f in zip(against, favour)
+            ]
+        if best is None or gain > best[0]:
+            best = gain, prior, seen
+    return best[1:]
+
+
+def _mean(hits: float, of: float, belief: tuple[float, float], total: float) -> float:
+    p, weight = belief[0], belief[1] * total + 1
+    return (hits + p * weight) / (of + weight)
+
+
+def _log_belief(p: float, belief: tuple[float, float]) -> float:
+    return belief[1] * (belief[0] * math.log(p) + (1 - belief[0]) * math.log(1 - p))
+
+
+def _chance(held: Accuracy, vote: int, y: int) -> float:
+    against, favour = held[0][y], held[1][y]
+    return against if vote < 0 else (1 - against) * (favour if vote > 0 else 1 - favour)
+
+
+def evidence(held: Accuracy, vote: int) -> float:
+    """What a vote adds to the log odds of a good text; a rule never counts against its own meaning."""
+    e = math.log(_chance(held, vote, 0) / _chance(held, vote, 1))
+    return min(0.0, e) if vote < 0 else max(0.0, e) if vote > 0 else e
+
+
+def log_odds(votes, prior: float, seen) -> float:
+    return math.log(prior / (1 - prior)) + sum(evidence(held, v) for held, v in zip(seen, votes))
+
+
+def posterior(votes, prior: float, seen) -> float:
+    return 1 / (1 + math.exp(-log_odds(votes, prior, seen)))
 
 
 def judge_quality(docs: DataFrame, text: str = "text", keep: float = 0.5) -> DataFrame:
@@ -111,10 +152,10 @@ def judge_quality(docs: DataFrame, text: str = "text", keep: float = 0.5) -> Dat
     m = written(measured(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text or c not in new]), text).drop(text), "quality")
     voted = m.select("*", *[c.alias(f"__{n}") for n, c in rules().items()])
     counted = voted.groupBy(*[f"__{n}" for n in names]).count().collect()  # at most 3**len(rules) rows
-    prior, acc = fit({tuple(r[:-1]): r[-1] for r in counted})
+    prior, seen = fit({tuple(r[:-1]): r[-1] for r in counted})
     odds = F.lit(math.log(prior / (1 - prior)))
-    for n, (g, b) in zip(names, acc):
-        odds = odds + F.when(F.col(f"__{n}") > 0, math.log(g / (1 - b))).when(F.col(f"__{n}") < 0, math.log((1 - g) / b)).otherwise(0.0)
+    for n, held in zip(names, seen):
+        odds = odds + F.when(F.col(f"__{n}") > 0, evidence(held, 1)).when(F.col(f"__{n}") < 0, evidence(held, -1)).otherwise(evidence(held, 0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = voted.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep)).drop(*[f"__{n}" for n in names])

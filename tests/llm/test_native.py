@@ -51,13 +51,75 @@ def test_quality_empty_and_tables(spark, docs, sf_dir):
 def test_em_recovers_planted_accuracies():
     import random
 
-    rng, counts, acc = random.Random(1), Counter(), [0.9, 0.75, 0.85, 0.7]
-    for _ in range(20000):
-        y = 1 if rng.random() < 0.7 else -1
-        counts[tuple(0 if rng.random() < 0.2 else (y if rng.random() < a else -y) for a in acc)] += 1
-    prior, got = quality.fit(counts, 200)
-    assert abs(prior - 0.7) < 0.05
-    assert all(abs(g - a) < 0.05 and abs(b - a) < 0.05 for (g, b), a in zip(got, acc))
+    rng, counts, found = random.Random(1), Counter(), [0.6, 0.4, 0.5, 0.3]
+    for _ in range(40000):
+        good = rng.random() < 0.85
+        counts[tuple(-1 if rng.random() < (0.005 if good else r) else rng.choice((0, 1)) for r in found)] += 1
+    prior, got = quality.fit(counts)
+    assert abs(prior - 0.85) < 0.05
+    assert all(abs(against[0] - 0.005) < 0.005 and abs(against[1] - r) < 0.12 for (against, _), r in zip(got, found))
+    assert quality.posterior((-1, 1, 1, 1), prior, got) < 0.5 < 0.9 < quality.posterior((0, 0, 0, 0), prior, got)
+
+
+def votes_of(n, chars, symbols, lines, repeats):
+    return (
+        -1 if n < 50 else 1 if n >= 100 else 0,
+        -1 if chars < 2 * n or chars > 15 * n else 1 if 3 * n <= chars <= 10 * n else 0,
+        -1 if symbols * 10 > n else 0,
+        -1 if lines * 60 > n else 0,
+        -1 if repeats * 4 > n else 1 if repeats * 100 <= n else 0,
+    )
+
+
+def brute_posterior(votes):
+    """EM over the single texts, one start at a time, in plain arrays."""
+    import numpy as np
+
+    v, best = np.array(votes), None
+    n = len(v)
+    belief = {"c": (0.9, 1.0), "a": np.array([[0.005, 0.3], [5.0, 0.01]]), "f": np.array([[0.6, 0.4], [0.01, 0.01]])}
+    for start in (0.9, 0.7, 0.97):
+        c, a, f, last = start, np.tile(belief["a"][0], (v.shape[1], 1)), np.tile(belief["f"][0], (v.shape[1], 1)), -np.inf
+        for _ in range(200):
+            like = np.stack([np.where(v < 0, a[:, y], (1 - a[:, y]) * np.where(v > 0, f[:, y], 1 - f[:, y])).prod(1) * (c, 1 - c)[y] for y in (0, 1)], 1)
+            beta = lambda p, w, x: w * (p * np.log(x) + (1 - p) * np.log(1 - x))
+            now = np.log(like.sum(1)).sum() + n * (beta(*belief["c"], c) + beta(*belief["a"], a).sum() + beta(*belief["f"], f).sum())
+            if now <= last + 1e-9 * abs(last):
+                break
+            last = now
+            p = like / like.sum(1, keepdims=True)
+            w = belief["a"][1] * n + 1
+            c = (p[:, 0].sum() + 0.9 * (n + 1)) / (n + n + 1)
+            neg, pos = (v < 0).T @ p, (v > 0).T @ p
+            a, f = (neg + belief["a"][0] * w) / (p.sum(0) + w), (pos + belief["f"][0] * (0.01 * n + 1)) / (p.sum(0) - neg + 0.01 * n + 1)
+        if best is None or last > best[0]:
+            best = last, c, a, f
+    _, c, a, f = best
+    against = np.minimum(0, np.log(a[:, 0] / a[:, 1]))
+    favour = np.maximum(0, np.log((1 - a[:, 0]) * f[:, 0] / ((1 - a[:, 1]) * f[:, 1])))
+    rest = np.log((1 - a[:, 0]) * (1 - f[:, 0]) / ((1 - a[:, 1]) * (1 - f[:, 1])))
+    return 1 / (1 + np.exp(-(np.log(c / (1 - c)) + np.where(v < 0, against, np.where(v > 0, favour, rest)).sum(1))))
+
+
+def test_posterior_equals_brute_force(spark, sf_dir):
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    counts = [brute_quality(t) for _, t in rows]
+    want = dict(zip([i for i, _ in rows], brute_posterior([votes_of(*c) for c in counts])))
+    got = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, p in want.items():
+        assert abs(got[i].quality - p) < 1e-6
+        assert got[i].kept == (not got[i].base_failed and got[i].quality >= 0.5)
+
+
+def test_planted_junk_is_rejected(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = quality.judge_quality(rows)
+    junk = out.where("n_symbols > 0.1 * n_words AND NOT base_failed")
+    assert junk.count() > 5 and junk.where("kept").count() == 0
+    fine = out.where("n_symbols = 0 AND n_dup_lines = 0 AND n_repeat_words = 0 AND NOT base_failed")
+    assert fine.where(~F.col("kept")).count() == 0
 
 
 def brute_licenses(t):

@@ -51,3 +51,46 @@ def test_long_runs(spark):
     texts = ["1-" * 50000, "1." * 50000, "a1" * 20000]
     got = changed(spark, *texts)
     assert [r.text for r in got[:2]] == texts[:2] and len(got[2].text) == 40000 and got[2].n_secret == 1
+
+
+def test_further_formats(spark):
+    texts = [
+        "4111 1111 1111 1111", "4111-1111-1111-1111", "123-45-6789", "301-555-0346", "(301) 555-0346", "+1 (301) 555-0346", "12/31/1999", "31/12/1999", "1999-12-31",
+        "2001:db8::ff00:42:8329", "2001:0db8:0000:0000:0000:ff00:0042:8329", "password: x1y2z3", 'api_key = "abc123def"',
+    ]
+    shapes = [
+        r"\d{4}( \d{4}){3}", r"\d{4}(-\d{4}){3}", r"\d{3}-\d{2}-\d{4}", r"\d{3}-\d{3}-\d{4}", r"\(\d{3}\) \d{3}-\d{4}", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\d\d/\d\d/19\d\d", r"\d\d/\d\d/19\d\d", r"19\d\d-\d\d-\d\d",
+        r"[0-9a-f]{4}(:[0-9a-f]{4}){7}", r"[0-9a-f]{4}(:[0-9a-f]{4}){7}", "password: [0-9a-f]{6}", 'api_key = "[0-9a-f]{9}"',
+    ]
+    got = [r.text for r in changed(spark, *texts)]
+    for old, new, shape in zip(texts, got, shapes):
+        assert new != old and re.fullmatch(shape, new), (old, new)
+    digits = [re.sub(r"\D", "", x) for x in got]
+    assert digits[0] == digits[1] and digits[3] == digits[4] == digits[5][1:] and got[9] == got[10]  # equal values stay linked
+    y, m, d = got[8].split("-")
+    assert got[6] == f"{m}/{d}/{y}" and got[7] == f"{d}/{m}/{y}"
+
+
+def test_further_look_alikes_stay(spark):
+    texts = ["v1.2.3.4", "order 9111111111111", "0000000000000000", "5555555555555555", "000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "13/32/2000", "std::vector", "12:30:45", "00:1a:2b:3c:4d:5e", "a::b", "The secret: meetings", "password: correct", "1234-45-6789"]
+    assert [r.text for r in changed(spark, *texts)] == texts
+
+
+def test_identity_numbers_and_addresses_are_permuted(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.range(20000).select(F.format_string("%03d-%02d-%04d", (F.col("id") * 7919 % 898 + 1).cast("int"), (F.col("id") % 99 + 1).cast("int"), (F.col("id") % 9999 + 1).cast("int")).alias("text")).where("text NOT LIKE '666%'").distinct()
+    out = pii.pseudonymise(d, "k")
+    assert out.select("text").distinct().count() == d.count() and out.where(~F.col("text").rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")).count() == 0
+    six = spark.range(5000).select(F.concat(F.lit("2001:db8::1:"), F.hex("id")).alias("text"))
+    assert pii.pseudonymise(six, "k").select("text").distinct().count() == 5000
+
+
+def test_clashing_columns(spark):
+    d = spark.createDataFrame([("a@b.org", 7, "x", 1.5)], "text string, n_email long, __m string, __k double")
+    out = pii.pseudonymise(d, "k", prefix=None)
+    assert out.columns == d.columns
+    row = out.first()
+    assert row["n_email"] == 7 and row["__m"] == "x" and row["__k"] == 1.5 and "a@b" not in row["text"]
+    named = pii.pseudonymise(d, "k", prefix="found_").first()
+    assert named["found_email"] == 1 and named["n_email"] == 7
