@@ -12,17 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexwright.llm import classifier, near
-from lexwright.llm.common import table, written
+from lexwright.llm.common import free_name, table, written
 from lexwright.llm.decontam import decontaminate
 from lexwright.llm.packing import best_fit
-from lexwright.llm.pii import KINDS, pseudonymise
-from lexwright.llm.queries import PII_KEY, vocabulary
+from lexwright.llm.pii import pseudonymise
+from lexwright.llm.queries import pii_key, vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit on the labels, grade every text, and drop what is likelier below the top grade."""
     model = classifier.fit(docs, classifier.grades_of(table(spark, sf_dir, "labels")), classifier.GRADES)
-    return classifier.grade(docs, model).where("accepted").drop("expected_grade", "tail", "accepted")
+    return classifier.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,21 +31,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without a doc_id all stay; of rows with one doc_id in common that are kept, all stay.
     """
     gone = near.classify(docs, near.Settings(percent=80)).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts that contain a benchmark item (five words, 0.8 of its shingles; shorter items as a whole)."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), short=True).select(docs.columns)
+    """Drop texts that contain a benchmark item (five words, 0.8 of its shingles; shorter items as a whole), row by row."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), short=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts; n_chars follows where a text changed."""
-    out = pseudonymise(docs, PII_KEY)
-    found = sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)) > 0
+    before = free_name("before", docs.columns)
+    out = pseudonymise(docs.withColumn(before, F.col("text")), pii_key(spark), prefix=None)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(found, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        changed = ~F.col(before).eqNullSafe(F.col("text"))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(before)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
