@@ -9,6 +9,7 @@ to bins from x on", is then applied to the pieces by a join.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -105,10 +106,13 @@ def best_fit(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int
     """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row per piece.
 
     Null texts count as empty (a piece with the end id alone); repeated rows are packed each
-    by itself; an empty table gives no rows.  With max_cost, ``capacity`` squared must not exceed it.
+    by itself; an empty table gives no rows.  A sequence holds at most ``capacity`` tokens, ``max_docs`` pieces and
+    ``max_cost`` of attention (the squares of the lengths); without the latter two the first alone binds.  Where
+    ``max_cost`` is below the square of ``capacity``, pieces are cut so that each fits by itself.
     """
     spark = docs.sparkSession
-    pieces = written(cut(docs, vocabulary, capacity, end_id, text, doc_id), "pieces")
+    longest = capacity if max_cost is None else min(capacity, math.isqrt(max_cost))
+    pieces = written(cut(docs, vocabulary, longest, end_id, text, doc_id), "pieces")
     per_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     rules = plan(counts, capacity, max_docs, max_cost, rule)

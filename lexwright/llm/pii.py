@@ -180,7 +180,7 @@ def _identity(m: Column, key: str) -> Column:
 def kind_of(m: Column) -> Column:
     """Kind of a valid match; null for one that validation turns down."""
     digits = F.translate(m, "- ", "")
-    card = m.rlike(r"^(?:[2-6][0-9]{12,18}|[2-6][0-9]{3}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[2-6][0-9]{3} [0-9]{4} [0-9]{4} [0-9]{4})$") & ~digits.rlike("^([0-9])\\1*$")
+    card = m.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4})$") & ~digits.rlike("^([0-9])\\1*$")
     ip = m.rlike(r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$")
     return (
         F.when(m.contains("@"), "email")
@@ -236,7 +236,7 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", prefix: str | None = "n_") -> DataFrame:
     """Replace personal data in every text and add n_email, n_phone, n_card, n_ip, n_date and n_secret.
 
-    Numbers keep their format: card numbers (13 to 19 digits of a network's first digit, also in fours) pass
+    Numbers keep their format: card numbers (13 to 19 digits, also in fours) pass
     the Luhn test before and after, IPv4 addresses and dates (YYYY-MM-DD and, with the same pseudonyms, MM/DD/YYYY
     or DD/MM/YYYY; years from 100) stay valid, IPv6 addresses are written in full, phone numbers (+1 (301) 555-0100,
     (301) 555-0100, 301-555-0100) keep the country code.  Email addresses become a keyed name

@@ -26,30 +26,29 @@ def _places(words: str) -> str:
     return f"list_filter(range(len(w)), lambda i: {test})"
 
 
-def _share(words: str, key: str, idf: dict[str, int]) -> str:
-    w, k = words.split(), key.split()
-    at = next(i for i in range(len(w)) if w[i : i + len(k)] == k)
-    total = float(sum(idf[x] for x in w))
-    keys = " AND ".join(f"w[s + {at + j + 1}] = '{x}' AND s + {at + j + 1} > 0" for j, x in enumerate(k))
-    agree = " + ".join(f"CASE WHEN s + {q + 1} > 0 AND w[s + {q + 1}] = '{x}' THEN 1 ELSE 0 END" for x, q in licenses.rare(w, idf))
-    mass = " + ".join(f"CASE WHEN s + {j + 1} > 0 AND w[s + {j + 1}] = '{x}' THEN {idf[x]} ELSE 0 END" for j, x in enumerate(w))
-    return f"coalesce(list_max(list_transform(list_filter(range(-{len(w)}, len(w)), lambda s: {keys} AND {agree} >= 2), lambda s: {mass})), 0) / {total!r}"
-
-
 def license_scan(accept: float = 0.6) -> str:
-    idf = licenses.weights()
+    """Base places by lists; templates as a table whose words are joined with the files' words, and alignments grouped."""
     places = ", ".join(f"{_places(p)} AS p{k}" for k, p in enumerate(licenses.BASE))
-    shares = ", ".join(f"{_share(words, key, idf)} AS s{k}" for k, (_, words, key) in enumerate(licenses.TEMPLATES))
     base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(licenses.BASE.values()))
-    more = ", ".join(f"CASE WHEN s{k} >= {accept} THEN '{label}' END" for k, (label, _, _) in enumerate(licenses.TEMPLATES))
     every = " || ".join(f"p{k}" for k in range(len(licenses.BASE)))
     last = ", ".join(f"list_max(p{k})" for k in range(len(licenses.BASE)))
-    names = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{x}], lambda x: x IS NOT NULL))), ','), '')"
+    names = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter({x}, lambda x: x IS NOT NULL))), ','), '')"
+    values = ", ".join(f"({t}, '{label}', '{words}', '{key}')" for t, (label, words, key) in enumerate(licenses.TEMPLATES))
     return f"""
-WITH a AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-b AS (SELECT doc_id, w, {places}, {shares} FROM a)
+WITH a AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+tpl(t, label, body, phrase) AS (VALUES {values}),
+tok AS (SELECT t, unnest(string_split(body, ' ')) AS x, generate_subscripts(string_split(body, ' '), 1) AS q FROM tpl),
+idf AS (SELECT x, CAST(round(1000 * ln(1 + (SELECT count(*) FROM tpl) / count(DISTINCT t))) AS BIGINT) AS idf FROM tok GROUP BY x),
+rare AS (SELECT DISTINCT x FROM (SELECT t, x, row_number() OVER (PARTITION BY t ORDER BY any_value(idf) DESC, min(q)) AS k FROM tok JOIN idf USING (x) GROUP BY t, x) WHERE k <= 3),
+placed AS (SELECT t, tok.x, q, idf, tok.x IN (SELECT x FROM rare) AS is_rare,
+  len(string_split(split_part(' ' || body || ' ', ' ' || phrase || ' ', 1), ' ')) AS k1, len(string_split(phrase, ' ')) AS kn, sum(idf) OVER (PARTITION BY t) AS total FROM tok JOIN idf USING (x) JOIN tpl USING (t)),
+word AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM a),
+aligned AS (SELECT rid, t, i - q AS s, sum(idf) / CAST(any_value(total) AS DOUBLE) AS share FROM word JOIN placed USING (x) GROUP BY rid, t, i - q
+  HAVING count(*) FILTER (is_rare) >= 2 AND count(*) FILTER (q >= k1 AND q < k1 + kn) = any_value(kn)),
+method AS (SELECT rid, list(label) FILTER (share >= {accept}) AS found, max(share) AS score FROM aligned JOIN tpl USING (t) GROUP BY rid),
+b AS (SELECT rid, doc_id, w, {places} FROM a)
 SELECT doc_id, len(w) AS n_words, len({every}) AS n_base, list_min({every}) AS first_word, greatest({last}) AS last_word,
-  {names(base)} AS base_labels, {names(base + ', ' + more)} AS labels, greatest({', '.join(f's{k}' for k in range(len(licenses.TEMPLATES)))}) AS score FROM b"""
+  {names(f"[{base}]")} AS base_labels, {names(f"list_concat([{base}], coalesce(found, []))")} AS labels, coalesce(score, 0.0) AS score FROM b LEFT JOIN method USING (rid)"""
 
 
 def _f(key: str, kind: str, r: int, ra: str, rb: str, source: str) -> str:

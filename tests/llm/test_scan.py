@@ -113,3 +113,55 @@ def test_classifier_awkward_rows(spark):
     assert len(rows) == 6 and all(0 <= r.tail <= 1 for r in rows)
     assert classifier.grade(d.limit(0), m).count() == 0
     assert classifier.fit(d.limit(0), one, 3).score([]).tolist() == []
+
+
+def test_classifier_equals_dense_form(spark):
+    """Loss and probabilities of a fitted model against a plain dense implementation; its gradient is nil at the mode."""
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, rng.randint(20, 60)) + (["awful"] if i % 3 == 1 else ["***"] * (i % 3 == 0) * 9)) for i in range(300)]
+    grades = [i % 3 if rng.random() > 0.1 else rng.randrange(3) for i in range(300)]
+    rows = []
+    for t, y in zip(texts, grades):
+        at, dim, value = classifier.features([t])
+        rows.append((y, dim, value))
+    model = classifier.fit_rows(rows, 3)
+    kept = classifier.distinct(rows)
+    used = classifier.screen(kept, 3)
+    x = np.zeros((len(kept) + 3, classifier.DIM))
+    y = np.array([r[0] for r in kept] + [0, 1, 2])
+    for i, (_, dim, value) in enumerate(kept):
+        for d, v in zip(dim, value):
+            x[i, d] += v * used[d]
+    dims = np.flatnonzero(x.any(0))
+    x = x[:, dims]
+
+    def loss(w, cuts):
+        score = x @ w
+        edges = np.concatenate((np.full((len(y), 1), -np.inf), np.tile(cuts, (len(y), 1)), np.full((len(y), 1), np.inf)), 1) - score[:, None]
+        with np.errstate(over="ignore"):
+            below = 1 / (1 + np.exp(-edges))
+        return -np.log(below[np.arange(len(y)), y + 1] - below[np.arange(len(y)), y]).sum() + w @ w / 8
+
+    w, cuts = model.weights[dims], model.thresholds
+    assert not np.delete(model.weights, dims).any() and cuts[0] < cuts[1]
+    for k in range(min(len(dims), 40)):  # no step in any direction lowers the loss
+        step = np.zeros(len(dims))
+        step[k] = 1e-4
+        assert abs(loss(w + step, cuts) - loss(w - step, cuts)) / 2e-4 < 1e-2
+    for k in range(2):
+        step = np.eye(2)[k] * 1e-4
+        assert abs(loss(w, cuts + step) - loss(w, cuts - step)) / 2e-4 < 1e-2
+
+    dense = []
+    for t in texts:
+        at, dim, value = classifier.features([t])
+        s = sum(model.weights[d] * v for d, v in zip(dim.tolist(), value.tolist()))
+        tails = [1 / (1 + np.exp(c - s)) for c in cuts]
+        dense.append((sum(tails), tails[-1], tails[-1] >= 0.5))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in classifier.grade(d, model).collect()}
+    for i, (expected, tail, ok) in enumerate(dense):
+        assert abs(got[i].expected_grade - expected) < 1e-4 and abs(got[i].tail - tail) < 1e-4
+        assert got[i].accepted == ok or abs(tail - 0.5) < 1e-4
+    left = {r.doc_id for r in classifier.accepted(d, model).collect()}
+    assert left == {i for i in got if got[i].accepted}

@@ -116,3 +116,30 @@ def test_plan_keeps_all_capacities(rule):
         parts.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and parts[0][0] == 0
         assert sum(n for _, n in parts) <= 100 and len(parts) <= 4 and sum(n * n for _, n in parts) <= 11000
+
+
+def test_all_three_capacities_bind(spark, docs):
+    """Sequences limited in pieces and in attention cost, and bins that the rule decides."""
+    got = {}
+    for name, limits in {"tokens": {}, "docs": {"max_docs": 2}, "cost": {"max_cost": 20_000}, "dot": {"max_docs": 6, "max_cost": 60_000, "rule": "dot"}, "norm": {"max_docs": 6, "max_cost": 60_000, "rule": "norm"}}.items():
+        by = defaultdict(list)
+        for r in packing.best_fit(docs, vocabulary(), capacity=256, **limits).collect():
+            by[r.sequence_id].append((r.offset, r.length))
+        for parts in by.values():
+            parts.sort()
+            assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:]))
+            assert sum(n for _, n in parts) <= 256 and len(parts) <= limits.get("max_docs", 10**9) and sum(n * n for _, n in parts) <= limits.get("max_cost", 10**9)
+        got[name] = sorted(sorted(n for _, n in parts) for parts in by.values())
+    assert max(map(len, got["tokens"])) > 2 and len(got["docs"]) > len(got["tokens"])
+    assert max(max(x) for x in got["cost"]) == 141 < max(max(x) for x in got["tokens"])
+
+
+def test_rules_choose_different_bins():
+    """A short piece goes to the bin that it leaves least free, or to the one whose free space it is most alike."""
+    rng = random.Random(8)
+    counts = {n: rng.randint(1, 9) for n in rng.sample(range(5, 100), 40)}
+    plans = {rule: packing.plan(counts, 100, max_docs=5, max_cost=10_000, rule=rule, weights=(1.0, 0.5, 0.5)) for rule in ("norm", "dot")}
+    assert plans["norm"] != plans["dot"]
+    bins = {rule: max(first + (hi - lo - 1) // each for _, lo, hi, each, first, _ in p) + 1 for rule, p in plans.items()}
+    least = -(-sum(n * c for n, c in counts.items()) // 100)
+    assert all(least <= b <= least * 1.25 for b in bins.values()), (bins, least)
