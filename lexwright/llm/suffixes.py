@@ -45,7 +45,7 @@ class Settings:
     block_bytes: int = 8 << 20  # text in a block: what a task holds at a time
     slice_bytes: int = 1 << 20
     piece_bytes: int = 2 << 20  # text whose suffixes are hashed and sorted at a time
-    hot_blocks: int = 2000  # from so many blocks on, an anchor is dealt out by its strings
+    hot_blocks: int = 32  # from so many blocks on, an anchor is dealt out by its strings
 
 
 # --- hashing and sorting -------------------------------------------------------------------------
