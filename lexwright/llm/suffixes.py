@@ -17,8 +17,9 @@ times over, so the work is dealt out by minimizers, without loss:
   answers all others.
 * Blocks get their answers and are written out with sizes, spans and digests.
 
-Anchors that stand in very many blocks are dealt out by their strings' own hashes instead,
-so no bucket gathers a group that grows with the corpus.
+Anchors that stand in very many blocks are dealt out by longer strings around them, in three
+parts, so that a common word group with ever new neighbours isn't gathered in one bucket.
+What is left is strings of 42 bytes that stand in very many blocks: one entry a block, however common.
 """
 
 from __future__ import annotations
@@ -45,7 +46,11 @@ class Settings:
     block_bytes: int = 8 << 20  # text in a block: what a task holds at a time
     slice_bytes: int = 1 << 20
     piece_bytes: int = 2 << 20  # text whose suffixes are hashed and sorted at a time
-    hot_blocks: int = 32  # from so many blocks on, an anchor is dealt out by its strings
+    hot_blocks: int = 256  # from so many blocks on, an anchor is dealt out by more than its own bytes
+
+
+#: Parts of a very common anchor's runs.
+PARTS = 3
 
 
 # --- hashing and sorting -------------------------------------------------------------------------
@@ -376,13 +381,22 @@ def _has(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _split(text: Hashed, start, n, lead, key, slot, hot, s: Settings):
-    """Runs of very common anchors as single strings under their own hashes."""
-    m = n[hot]
-    inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-    p = np.repeat(start[hot], m) + inner
-    own = mix(text.of(p, s.length)) | np.uint64(1 << 63)  # apart from the anchors' keys, which have 48 bits
+    """Runs of very common anchors in parts, each under the hash of the bytes that all its strings have in common.
+
+    A part is the strings whose anchor stands ``fold`` consecutive ways; they share all but
+    fold - 1 bytes with each other, so equal strings get equal keys and different ones hardly ever.
+    """
+    fold = -(-(s.length - s.gram + 1) // PARTS)
+    part = np.tile(np.arange(PARTS), int(hot.sum()))
+    begin, high, m, home = (np.repeat(x[hot], PARTS) for x in (start, lead, n, slot))
+    anchor, low = begin + high, high - m + 1
+    high, low = np.minimum(high, (part + 1) * fold - 1), np.maximum(low, part * fold)
+    ok = high >= low
+    part, anchor, high, low, home = part[ok], anchor[ok], high[ok], low[ok], home[ok]
+    # apart from the anchors' keys, which have 48 bits
+    own = mix(text.of(anchor - part * fold, s.length - fold + 1) + part.astype(np.uint64)) | np.uint64(1 << 63)
     join = lambda a, b: np.concatenate((a[~hot], b))
-    return join(start, p), join(n, np.ones(len(p), n.dtype)), join(lead, np.zeros(len(p), lead.dtype)), join(key, own), join(slot, np.repeat(slot[hot], m))
+    return join(start, anchor - high), join(n, (high - low + 1).astype(n.dtype)), join(lead, high.astype(lead.dtype)), join(key, own), join(slot, home)
 
 
 def _same_runs(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
