@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexwright.operators.scratch import written
+
 
 def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row per key: a partial aggregate, so repeats of a hot key never meet in one task."""
@@ -60,8 +62,8 @@ def ordinal_suffix(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(id, ancestor_id, distance): the node itself at 0, its parent at 1, up to the root.
 
-    The levels of statutes are few, so the walk is a loop of joins over the level's rows, each kept
-    for the next; it ends when no row has a parent left.  A node among its own ancestors is an error.
+    The levels of statutes are few, so the walk is a loop of joins over the level's rows, each written to the
+    scratch folder for the next; it ends when no row has a parent left.  A node among its own ancestors is an error.
     """
     parent = nodes.select(F.col("id").alias("ancestor_id"), F.col("parent_id").alias("up"))
     level = nodes.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("distance"), F.col("parent_id").alias("up"))
@@ -75,3 +77,8 @@ def ancestors(nodes: DataFrame) -> DataFrame:
         if not left:
             return out
         out = out.unionAll(level.drop("up"))
+
+
+def compact_metadata(fields: dict[str, Column]) -> Column:
+    """A map of the fields that aren't null."""
+    return F.map_filter(F.create_map(*[x for k, c in fields.items() for x in (F.lit(k), c.cast("string"))]), lambda _, v: v.isNotNull())

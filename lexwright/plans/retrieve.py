@@ -79,6 +79,45 @@ s(job_id, k, status, total_titles, processed_titles, error_count, processed_node
 SELECT job_id, status, total_titles, processed_titles, error_count, processed_nodes, dropped FROM s QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY k DESC) = 1"""
 
 
+def _units(spark, d):
+    """Every event once more as one of a unit: seven units a job."""
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("created", "running", "nodes", "done")]), (i % 4 + 1).cast("int"))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("completed", "error", "skipped")]), (i % 3 + 1).cast("int"))
+    return S.table(spark, d, "events").select(
+        F.col("user_id").alias("job_id"), (i % 7).alias("unit_id"), F.struct("ts", "event_id").alias("seq"), kind.alias("kind"), (i % 10).alias("n"), status.alias("status"),
+        F.when(i % 3 == 1, F.concat(F.lit("e"), F.expr("repeat('x', CAST(event_id % 1500 AS INT))"))).alias("error"),
+    )
+
+
+def job_units(spark, d):
+    u = jobs.fold_units(_units(spark, d), _events(spark, d))
+    return u.select("job_id", "unit_id", "status", "total_nodes", "processed_nodes", F.length("error").alias("error_chars"), F.substring("error", 1, 11).alias("error_head")).orderBy("job_id", "unit_id")
+
+
+def job_unit_totals(spark, d):
+    return jobs.job_totals(_units(spark, d), _events(spark, d))
+
+
+_ENDED = """, ended AS (SELECT job_id, min(k) AS k, arg_min(status, k) AS status FROM s WHERE status NOT IN ('planning', 'running', 'completed_with_errors') GROUP BY job_id),
+u AS (SELECT user_id AS job_id, event_id % 7 AS unit_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, ['created', 'running', 'nodes', 'done'][event_id % 4 + 1] AS kind, event_id % 10 AS n,
+  ['completed', 'error', 'skipped'][event_id % 3 + 1] AS status, CASE WHEN event_id % 3 = 1 THEN 'e' || repeat('x', CAST(event_id % 1500 AS INTEGER)) END AS error FROM events),
+v AS (SELECT u.*, ended.status AS final, ended.k IS NULL OR u.k <= ended.k AS live FROM u LEFT JOIN ended USING (job_id))"""
+
+
+def _unit_sql() -> tuple[str, str]:
+    head = JOB_FOLD_SQL[: JOB_FOLD_SQL.rindex("SELECT job_id, status")].rstrip() + _ENDED
+    one = f"""{head},
+    w AS (SELECT job_id, unit_id, bool_or(kind = 'created') AS made, any_value(final) AS final, coalesce(arg_max(CASE kind WHEN 'done' THEN status ELSE 'running' END, k) FILTER (live AND kind IN ('running', 'done')), 'pending') AS status,
+      arg_max_null(left(error, 1000), k) FILTER (live AND kind = 'done') AS error, coalesce(arg_max(n, k) FILTER (live AND kind = 'running'), 0) AS total_nodes, CAST(coalesce(sum(n) FILTER (kind = 'nodes'), 0) AS BIGINT) AS processed_nodes FROM v GROUP BY 1, 2),
+    x AS (SELECT *, final = 'aborted' AND status IN ('pending', 'running') AS stopped FROM w WHERE made),
+    y AS (SELECT job_id, unit_id, CASE WHEN stopped THEN 'aborted' ELSE status END AS status, total_nodes, processed_nodes, CASE WHEN stopped THEN coalesce(error, 'job aborted') ELSE error END AS error FROM x)
+    SELECT job_id, unit_id, status, total_nodes, processed_nodes, CAST(length(error) AS INTEGER) AS error_chars, left(error, 11) AS error_head FROM y"""
+    two = f"""{head}
+    SELECT job_id, count(DISTINCT unit_id) FILTER (kind = 'created') AS units, CAST(coalesce(sum(n) FILTER (live AND kind = 'running'), 0) AS BIGINT) AS running_total FROM v GROUP BY 1"""
+    return one, two
+
+
 def job_list(spark, d):
     """The newest jobs, at most 100."""
     j = S.table(spark, d, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max("ts").alias("updated_at"), F.count("*").alias("n_events"))
@@ -164,6 +203,8 @@ QUERIES = {
     "vector_merged": (vector_merged, f"""SELECT vec_id, max(score) AS score, count(*) AS n_searches FROM (SELECT e.vec_id, {_COS} AS score, q.vec_id AS qid FROM embeddings e, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 3) q
         QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 15) GROUP BY vec_id"""),
     "job_fold": (job_fold, JOB_FOLD_SQL),
+    "job_units": (job_units, _unit_sql()[0]),
+    "job_unit_totals": (job_unit_totals, _unit_sql()[1]),
     "job_list": (job_list, "SELECT user_id AS job_id, max(ts) AS updated_at, count(*) AS n_events FROM events GROUP BY 1 ORDER BY updated_at DESC, job_id LIMIT 100"),
     "carry_forward": (carried, "SELECT event_id, last_value(CASE WHEN event_id % 6 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events"),
     "running_offsets": (running_offsets, """SELECT l_orderkey, l_linenumber, CAST(coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", size - lag(size) OVER w AS delta

@@ -11,7 +11,7 @@ COLS = ["id", "parent_id", "level_name", "sort_order", "name", "path"]
 
 
 def node_by_path(spark, d):
-    return S.nodes(spark, d).where((F.col("source_version_id") == "asia-2024") & (F.col("path") == "/title/8")).select(*COLS).limit(1)
+    return S.nodes(spark, d).where((F.col("source_version_id") == "asia-2024") & (F.col("path") == "/title/12")).select(*COLS).limit(1)
 
 
 def root_node(spark, d):
@@ -23,7 +23,7 @@ def top_level(spark, d):
 
 
 def children(spark, d):
-    return S.nodes(spark, d).where(F.col("parent_id") == "asia/2024/root/title-8").select(*COLS).orderBy("sort_order", "id")
+    return S.nodes(spark, d).where(F.col("parent_id") == "asia/2024/root/title-12").select(*COLS).orderBy("sort_order", "id")
 
 
 def ancestors(spark, d):
@@ -58,13 +58,38 @@ def keyset_page(spark, d):
     return n.orderBy("id").limit(10).select("id", "name")
 
 
+def node_by_id(spark, d):
+    """Point lookups: by id, and by version and id."""
+    n = S.nodes(spark, d)
+    one = n.where(F.col("id") == "asia/2024/root/title-12").select(F.lit("id").alias("by"), *COLS)
+    two = n.where((F.col("source_version_id") == "asia-2023") & (F.col("id") == "asia/2023/root/title-17")).select(F.lit("version and id").alias("by"), *COLS)
+    return one.unionAll(two)
+
+
+def node_metadata(spark, d):
+    """The metadata of nodes as maps without their null values."""
+    n = S.nodes(spark, d)
+    kept = store.compact_metadata({"level": F.col("level_name"), "parent": F.col("parent_id"), "blob": F.col("blob_hash"), "name": F.col("name")})
+    return n.select("id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("keys"), F.size(kept).alias("n_keys"), F.element_at(kept, "name").alias("name"))
+
+
 N = S.NODES_SQL
 _C = ", ".join(COLS)
 QUERIES = {
-    "node_by_path": (node_by_path, f"SELECT {_C} FROM {N} WHERE source_version_id = 'asia-2024' AND path = '/title/8' LIMIT 1"),
+    "node_by_id": (
+        node_by_id,
+        f"""SELECT 'id' AS by, {_C} FROM {N} WHERE id = 'asia/2024/root/title-12'
+        UNION ALL SELECT 'version and id', {_C} FROM {N} WHERE source_version_id = 'asia-2023' AND id = 'asia/2023/root/title-17'""",
+    ),
+    "node_metadata": (
+        node_metadata,
+        f"""SELECT id, CASE WHEN blob_hash IS NOT NULL THEN 'blob,' ELSE '' END || 'level,name' || CASE WHEN parent_id IS NOT NULL THEN ',parent' ELSE '' END AS keys,
+        CAST(2 + (blob_hash IS NOT NULL)::INT + (parent_id IS NOT NULL)::INT AS INTEGER) AS n_keys, name FROM {N}""",
+    ),
+    "node_by_path": (node_by_path, f"SELECT {_C} FROM {N} WHERE source_version_id = 'asia-2024' AND path = '/title/12' LIMIT 1"),
     "root_node": (root_node, f"SELECT {_C} FROM {N} WHERE source_version_id = 'europe-2023' AND parent_id IS NULL"),
     "top_level_nodes": (top_level, f"SELECT {_C} FROM {N} WHERE source_version_id = 'asia-2024' AND level_index = 1"),
-    "child_nodes": (children, f"SELECT {_C} FROM {N} WHERE parent_id = 'asia/2024/root/title-8'"),
+    "child_nodes": (children, f"SELECT {_C} FROM {N} WHERE parent_id = 'asia/2024/root/title-12'"),
     "ancestors": (
         ancestors,
         f"""WITH RECURSIVE n AS MATERIALIZED (SELECT * FROM {N}), up(id, ancestor_id, parent_id, distance) AS (
