@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 SECTION = "url string, number string, name string, body string, blocks array<struct<type:string,label:string,content:string>>"
 LINK = "url string, kind string, number string, name string, href string"
@@ -259,3 +260,34 @@ def _map(pages: DataFrame, reader: Callable[[str, str], Iterator[dict]], schema:
                 yield pd.DataFrame(found)
 
     return pages.select("url", "html").mapInPandas(parse, schema)
+
+
+TOC = "url string, target string, number string, name string"
+
+
+def toc_entries(url: str, html: str) -> Iterator[dict]:
+    """Entries of a chapter page's own table of contents: the section that each link leads to, and its catch-line."""
+    seen = set()
+    for _, attrs, runs in elements(flatten(html), {"p"}):
+        if "toc_" not in attrs.get("class", ""):
+            continue
+        link = next((a for _, c in runs for _, t, a in c if t == "a" and a.get("href", "").startswith("#")), None)
+        m = _CATCH.match(squeeze(text_of(runs)))
+        if link and m and link["href"] not in seen:
+            seen.add(link["href"])
+            yield {"url": url, "target": link["href"][1:], "number": m[1], "name": m[2].strip().rstrip(".")}
+
+
+def parse_toc(pages: DataFrame) -> DataFrame:
+    return _map(pages, toc_entries, TOC)
+
+
+def parse_versions(pages: DataFrame) -> DataFrame:
+    """(url, version) of landing pages."""
+    return _map(pages, lambda url, html: [{"url": url, "version": version_of(html)}], "url string, version string")
+
+
+def section_range(sections: DataFrame, start: int, end: int) -> DataFrame:
+    """Sections [start, end) of each page, in the page's order, with their position."""
+    place = Window.partitionBy("url").orderBy("__id")
+    return sections.withColumn("__id", F.monotonically_increasing_id()).withColumn("position", F.row_number().over(place) - 1).where((F.col("position") >= start) & (F.col("position") < end)).drop("__id")

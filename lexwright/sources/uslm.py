@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 #: Levels above the section, outermost first, and below it (fixed values).
 UPPER = ("title", "subtitle", "chapter", "subchapter", "part", "subpart", "division", "subdivision")
@@ -224,3 +225,16 @@ def mgl_sections(chapters: DataFrame, sections: DataFrame) -> DataFrame:
         F.concat(F.lit("/part/"), low("part"), F.lit("/chapter/"), low("chapter"), F.lit("/section/"), low("code")).alias("path"),
         F.concat(F.lit("MGL c."), normalize_compact(F.col("chapter")), F.lit(" §"), normalize_compact(F.col("code"))).alias("citation"), "position",
     )
+
+
+@F.pandas_udf(BinaryType())
+def zipped(content: pd.Series) -> pd.Series:
+    """Each file as the only member of a ZIP archive."""
+
+    def pack(data: bytes) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("file.xml", data)
+        return out.getvalue()
+
+    return content.map(lambda x: None if x is None else pack(bytes(x)))
