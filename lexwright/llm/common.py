@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexwright.operators.scratch import forget, scratch, written
+
+__all__ = ["forget", "scratch", "written"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,46 +25,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only a local master, whose driver and executors are one process, may do without it: a folder of its own
-    then serves.  Elsewhere a machine's own folder would lose rows, so there it is an error.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="lexwright-"))
-        at = _OWN[0]
-    return at.rstrip("/")
-
-
-_OWN: list[str] = []
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The rows of df as a Parquet table in the scratch folder.
-
-    Unlike a cache it outlives executors, and unlike a localCheckpoint every executor can read it.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete scratch tables that no later plan reads."""
-    for df in tables:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def free_name(wanted: str, taken: Iterable[str]) -> str:
     """wanted, or what stands nearest to it that no column is called."""
     low = {c.lower() for c in taken}
