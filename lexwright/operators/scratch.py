@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,23 @@ def scratch(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """While a table is written its Python workers get their rows in batches of so many bytes; the setting is then as before."""
+    before = spark.conf.get(_BYTES, None)
+    spark.conf.set(_BYTES, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BYTES)
+        else:
+            spark.conf.set(_BYTES, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df as a Parquet table in the scratch folder.
 
@@ -34,7 +53,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
