@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexwright.llm.common import lists, mix, slices, word_hashes
+from lexwright.llm.common import lists, mix, release, slices, word_hashes
 
 #: Hashed dimensions.  The last SHAPES ones are kept for measures of form.
 DIM, SHAPES = 1 << 16, 8
@@ -312,6 +312,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", least: int | Non
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_tails(slim, batch.column(at))[:, k] >= keep))
+        release()
 
     return docs.mapInArrow(choose, docs.schema)
 
@@ -334,6 +335,7 @@ def grade(docs: DataFrame, model: Model, text: str = "text", least: int | None =
             tails = _tails(slim, batch.column(at))
             extra = [pa.array(tails.sum(1)), pa.array(tails[:, k]), pa.array(tails[:, k] >= keep)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*columns, *new])
+        release()
 
     schema = T.StructType([*base.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
     return base.mapInArrow(score, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,6 +44,14 @@ def lists(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[list[l
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield [c.to_pylist() for c in batch.slice(a, rows).columns]
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker waits for its next task next to the others on its machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may have no such function
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 # --- word hashing over whole Arrow batches -------------------------------------------------------
@@ -127,7 +137,7 @@ def shingles(texts: list, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return out, doc[at]
 
 
-def slices(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of texts with about ``limit`` characters each, so that working arrays stay small."""
     a = size = 0
     for b, t in enumerate(texts):

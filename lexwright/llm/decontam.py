@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexwright.llm.common import forget, free_name, lists, mix, shingles, slices, written
+from lexwright.llm.common import forget, free_name, lists, mix, release, shingles, slices, written
 
 #: Bytes of the items' shingle hashes up to which they are sent to every task whole.
 BLOCK = 8 << 20
@@ -236,5 +236,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.8, width:
                 for d, _, _ in _found(block, batch.column(at).slice(a, 500).to_pylist(), width, share):
                     bad[a + d] = True
             yield batch.filter(pa.array(~bad))
+        release()
 
     return docs.mapInArrow(clean, docs.schema)

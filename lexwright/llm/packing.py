@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexwright.llm.common import lists, written
-from lexwright.llm.tokens import encoder
+from lexwright.llm.tokens import PARTS, UNITS, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
-def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, text: str = "text", doc_id: str = "doc_id", remember: tuple[int, int] = (UNITS, PARTS)) -> DataFrame:
     """One row per piece, with its rank among the pieces of its length that the same task made.
 
     Only documents longer than ``capacity`` are cut, from their end: every piece but the first is full.
@@ -33,7 +33,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, text: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        e, task = encoder(vocabulary), TaskContext.get().partitionId()
+        e, task = encoder(vocabulary, remember), TaskContext.get().partitionId()
         end = np.asarray([end_id], "<u4").tobytes()
         seen = [0] * (capacity + 1)
         for named, texts in lists(batches):
@@ -102,17 +102,21 @@ def _order(free, need, caps, rule, weights):
     return (sum(w * ((f - n) / c) ** 2 for w, n, f, c in zip(weights, need, free, caps)), free)
 
 
-def best_fit(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def best_fit(
+    docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", text: str = "text", doc_id: str = "doc_id",
+    remember: tuple[int, int] = (UNITS, PARTS),
+) -> DataFrame:
     """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row per piece.
 
     Null texts count as empty (a piece with the end id alone); repeated rows are packed each
     by itself; an empty table gives no rows.  A sequence holds at most ``capacity`` tokens, ``max_docs`` pieces and
     ``max_cost`` of attention (the squares of the lengths); without the latter two the first alone binds.  Where
-    ``max_cost`` is below the square of ``capacity``, pieces are cut so that each fits by itself.
+    ``max_cost`` is below the square of ``capacity``, pieces are cut so that each fits by itself.  ``remember``: how many
+    words, and parts of words, a worker keeps encoded.
     """
     spark = docs.sparkSession
     longest = capacity if max_cost is None else min(capacity, math.isqrt(max_cost))
-    pieces = written(cut(docs, vocabulary, longest, end_id, text, doc_id), "pieces")
+    pieces = written(cut(docs, vocabulary, longest, end_id, text, doc_id, remember), "pieces")
     per_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     rules = plan(counts, capacity, max_docs, max_cost, rule)

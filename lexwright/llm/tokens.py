@@ -68,9 +68,10 @@ class _Units(dict):
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: tuple[int, int] = (UNITS, PARTS)):
         from tokenizers import Tokenizer
 
+        self.remember = remember
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.letters = _byte_letters()
@@ -103,9 +104,9 @@ class Encoder:
             return b""
         if any(x in text for x in _ODD):
             return self.whole(text)
-        if len(self.units) >= UNITS:
+        if len(self.units) >= self.remember[0]:
             self.units = self.units.next()
-        if len(self.parts) >= PARTS:
+        if len(self.parts) >= self.remember[1]:
             self.parts = self.parts.next()
         if _plain(text):
             first, *rest = text.replace("\n", " \n").split(" ")
@@ -124,14 +125,14 @@ def _plain(text: str) -> bool:
     return not any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or not _LONG_RUN.search(text)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: tuple[int, int] = (UNITS, PARTS)) -> Encoder:
     """One per Python worker, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, remember) not in _ENCODERS:
+        _ENCODERS[path, remember] = Encoder(path, remember)
+    return _ENCODERS[path, remember]
 
 
 # --- packing ------------------------------------------------------------------------------------
