@@ -51,7 +51,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the texts into sequences of at most 1024 tokens."""
-    return best_fit(docs, vocabulary(), capacity=1024, end_id=2)
+    # the stages before leave executors little memory, so workers remember fewer words than by default
+    return best_fit(docs, vocabulary(), capacity=1024, end_id=2, remember=(200_000, 250_000))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_passages", benchmark_passages), ("personal_data", personal_data), ("packing", packing)]
