@@ -188,8 +188,9 @@ def classify(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_
     links = written(_verified(stars, texts, s), "links")
     labels = written(components(links), "labels")
 
-    at = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    # both tables are written, so that Spark can split the members of a common key over tasks
+    at = written(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+    mixed = written(at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"), "mixed")
     open_ids = written(at.join(mixed, "key", "left_semi").select("doc_id", "component").distinct(), "open")
     raw_prefix = written(_prefixes(texts.join(open_ids.select("doc_id"), "doc_id", "left_semi"), s).join(open_ids, "doc_id"), "prefixes")
     spread = raw_prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
@@ -204,7 +205,7 @@ def classify(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_
 
     edges = links.unionAll(more).unionAll(copy_links)
     final = written(components(edges), "components")
-    forget(copies, banded, shared, members, stars, texts, links, labels, open_ids, raw_prefix, prefix, more)
+    forget(at, mixed, copies, banded, shared, members, stars, texts, links, labels, open_ids, raw_prefix, prefix, more)
     out = sig.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
