@@ -134,6 +134,7 @@ def _edits(text: str, quotes: list[str]) -> list[dict]:
         (rf"adding at the end{new}", lambda m: {"op": "append", "insert": q(m[1])}),
         (rf"(?:adding|inserting) {_Q} at the end(?: of {_PLACE})?", lambda m: {"op": "append", "insert": q(m[1]), "inline": True, "path": named_path(m[2], ids(m[3])) if m[2] else []}),
         (rf"redesignating ({_KIND})s? ((?:{_IDS}(?:(?:, and |, | and | through )(?=\())?)+)(?:[^⟦]*?) as ({_KIND})s? ((?:{_IDS}(?:(?:, and |, | and | through )(?=\())?)+)", lambda m: {"op": "redesignate", "pairs": [[a, b] for a, b in zip(expand(m[1], m[2]), expand(m[3], m[4]))]}),
+        (rf"moving ({_KIND})s? ((?:{_IDS}(?:(?:, and |, | and | through )(?=\())?)+)(?:,? so as)? to (?:appear|follow) ?(after|before)? ({_KIND}) ({_IDS})", lambda m: {"op": "move", "nodes": [[x] for x in expand(m[1], m[2])], "side": m[3] or "after", "node": named_path(m[4], ids(m[5]))}),
         (rf"amending ({_KIND}) ({_IDS}) to read as follows:\s*{_Q}", lambda m: {"op": "rewrite", "path": named_path(m[1], ids(m[2])), "insert": q(m[3])}),
         (rf"to read as follows:\s*{_Q}", lambda m: {"op": "rewrite", "insert": q(m[1])}),
     )

@@ -113,6 +113,21 @@ def inline_cgs(text: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else inline(x, cgs_rows(x)) for x in text])
 
 
+def chapter_rows(text: str | None) -> list[tuple]:
+    """State references of title-chapter-section numbers, linked by their chapter."""
+    slug = lambda x: re.sub(r"[^a-z0-9.]+", "-", x.lower()).strip("-")
+    out = []
+    for s, _, o, n in CGS.references(text or "", None):
+        chapter = s.rpartition("-")[0]
+        out.append((s, None, o, n, f"/title/{slug(chapter.partition('-')[0])}/chapter/{slug(chapter)}/section/{slug(s)}"))
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def inline_chapters(text: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else inline(x, chapter_rows(x)) for x in text])
+
+
 def explode_citations(df: DataFrame, key: str, references: Column) -> DataFrame:
     """The citation graph's edges: one row per reference."""
     return df.select(key, F.posexplode(references).alias("ordinal", "r")).select(key, "ordinal", "r.*")

@@ -117,3 +117,23 @@ def extract_json(c: Column) -> Column:
     body = F.substring(c, a, b - a + 1)
     ok = (a > 0) & (F.instr(c, "}") > 0) & (b > a)
     return F.when(ok & F.try_parse_json(body).isNotNull(), body)
+
+
+def agent_action(c: Column) -> Column:
+    """Struct (type, answer, tool, args) of what a model answered: a final answer or the call of a tool; null for anything else."""
+    v = F.try_parse_json(extract_json(c))
+    get = lambda path, kind="string": F.try_variant_get(v, path, kind)
+    kind = get("$.type")
+    empty = F.lit(None).cast("string")
+    answer = F.struct(kind.alias("type"), F.coalesce(get("$.answer"), F.lit("")).alias("answer"), empty.alias("tool"), empty.alias("args"))
+    tool = F.struct(kind.alias("type"), empty.alias("answer"), F.coalesce(get("$.tool"), F.lit("")).alias("tool"), F.coalesce(F.to_json(F.try_variant_get(v, "$.args", "variant")), F.lit("{}")).alias("args"))
+    return F.when(kind == "final", answer).when(kind == "tool", tool)
+
+
+def volume_metadata(c: Column) -> Column:
+    """Struct of a volume's package, volume, congress, session, date_issued and last_modified, joined by bars; null for fewer than six."""
+    parts = F.split(c, r"\|")
+    number = lambda k, otherwise: F.coalesce(F.get(parts, F.lit(k)).try_cast("int"), F.lit(otherwise))
+    at = lambda k: F.get(parts, F.lit(k))
+    out = F.struct(at(0).alias("package_id"), number(1, 0).alias("volume"), number(2, 0).alias("congress"), number(3, 1).alias("session"), at(4).alias("date_issued"), at(5).alias("last_modified"))
+    return F.when(F.size(parts) >= 6, out)

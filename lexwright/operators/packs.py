@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,10 +36,11 @@ def entry(text: str) -> bytes:
     return bytes.fromhex(hash_hex(data)) + gzip.compress(data, mtime=0)
 
 
-def write_packs(blobs: DataFrame, limit: int = LIMIT, shard_rows: int = 20_000) -> DataFrame:
+def write_packs(blobs: DataFrame, limit: int = LIMIT, shard_rows: int = 20_000, shard_bytes: int = 64_000_000) -> DataFrame:
     """(source_id, position, hash, content), distinct hashes, to index rows; each pack's bytes stand in its first row.
 
-    Rows with null content are left out.
+    A shard holds at most ``shard_rows`` positions, and of them runs of about ``shard_bytes``, so
+    that a task never gathers more than that and one row. Rows with null content are left out.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -65,7 +66,10 @@ def write_packs(blobs: DataFrame, limit: int = LIMIT, shard_rows: int = 20_000)
             close()
         return pd.DataFrame(done, columns=[c.strip().split()[0] for c in INDEX.split(",")])
 
-    sharded = blobs.where("content IS NOT NULL").withColumn("shard", F.floor(F.col("position") / shard_rows).cast("long"))
+    rows = blobs.where("content IS NOT NULL").withColumn("__rows", F.floor(F.col("position") / shard_rows).cast("long"))
+    before = Window.partitionBy("source_id", "__rows").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.sum(F.octet_length("content").cast("long")).over(before), F.lit(0))
+    sharded = rows.withColumn("shard", F.col("__rows") * 1_000_000 + F.floor(size / shard_bytes).cast("long"))
     return sharded.select("source_id", "shard", "position", "hash", "content").groupBy("source_id", "shard").applyInPandas(run, INDEX)
 
 
@@ -74,12 +78,27 @@ def read_blobs(index: DataFrame, packs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for h, o, n, data in zip(b["hash"], b["offset"], b["size"], b["payload"]):
-                e = bytes(data[o : o + n]) if data is not None else b""
-                out.append(gzip.decompress(e[8:]).decode() if e[:8].hex() == h else None)
-            yield pd.DataFrame({"source_id": b["source_id"], "hash": b["hash"], "content": out})
-
-    # a pack's bytes are sliced where they lie: entries are gathered to their pack, not the other way round
-    wanted = index.select("source_id", "hash", "offset", "size", "packfile_key")
-    return wanted.join(packs, "packfile_key", "left").select("source_id", "hash", "offset", "size", "payload").mapInPandas(run, "source_id string, hash string, content string")
+            for entries, data in zip(b["entries"], b["payload"]):
+                for a in range(0, len(entries), 1000):
+                    rows = []
+                    for x in entries[a : a + 1000]:
+                        e = bytes(data[x["offset"] : x["offset"] + x["size"]]) if data is not None else b""
+                        rows.append((x["source_id"], x["hash"], gzip.decompress(e[8:]).decode() if e[:8].hex() == x["hash"] else None))
+                    yield pd.DataFrame(rows, columns=["source_id", "hash", "content"])
+
+    # a pack's bytes come once, with all entries wanted of it; their number is bounded by the pack's size
+    entries = index.groupBy("packfile_key").agg(F.collect_list(F.struct("source_id", "hash", "offset", "size")).alias("entries"))
+    return entries.join(packs, "packfile_key", "left").select("entries", "payload").mapInPandas(run, "source_id string, hash string, content string")
+
+
+def blob_json(blobs: DataFrame, schema: str) -> DataFrame:
+    """blobs with ``value``: the content read as JSON; null where it isn't."""
+    return blobs.withColumn("value", F.from_json("content", schema))
+
+
+def list_objects(objects: DataFrame, prefix: str = "", after: str | None = None, limit: int = 1000) -> DataFrame:
+    """A page of a listing (key, size) in order of key: those with the prefix, beyond the cursor."""
+    page = objects.where(F.col("key").startswith(prefix))
+    if after is not None:
+        page = page.where(F.col("key") > after)
+    return page.orderBy("key").limit(limit)

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexwright.functions import amendments
+from lexwright.functions import patches as patching
 from lexwright.functions.outline import outline, plain, resolve
 
 PARSED = "bill_id string, position int, section_path string, edits string, unread int"
-AMENDED = "bill_id string, section_path string, before string, after string, n_edits int, n_applied int, issues array<struct<position:int,edit:int,reason:string>>"
+AMENDED = "bill_id string, section_path string, before string, after string, n_edits int, n_applied int, issues array<struct<position:int,edit:int,reason:string>>, shown array<struct<kind:string,text:string>>"
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -50,8 +51,8 @@ def _join(left: str, insert: str, right: str) -> str:
     return insert
 
 
-def apply_edit(text: str, edit: dict) -> tuple[str, str | None]:
-    """The amended text, and why nothing was done if so."""
+def apply_edit(text: str, edit: dict, shown: patching.Shown | None = None) -> tuple[str, str | None]:
+    """The amended text, and why nothing was done if so; shown follows with what was struck and inserted."""
     nodes = outline(text)
     lo, hi = 0, len(text)
     path = [tuple(p) for p in edit.get("path", [])]
@@ -119,6 +120,19 @@ def apply_edit(text: str, edit: dict) -> tuple[str, str | None]:
         patches.append((hi, hi, insert if edit.get("inline") and not insert.startswith("(") else "\n" + insert))
     elif op == "rewrite":
         patches.append((lo, hi, insert))
+    elif op == "move":
+        ranges = []
+        for p in [*edit["nodes"], edit["node"]]:
+            at = inside([tuple(x) for x in p])
+            if len(at) != 1:
+                return text, "target_ambiguous" if at else "target_unresolved"
+            n = nodes[at[0]]
+            ranges.append((n.start, n.end + (1 if text[n.end : n.end + 1] == "\n" else 0)))
+        anchor = ranges.pop()
+        whole = patching.move(text if text.endswith("\n") else text + "\n", ranges, anchor[1] if edit["side"] == "after" else anchor[0])
+        if whole is None or anchor in ranges:
+            return text, "move_into_itself"
+        patches.append((0, len(text), whole.rstrip("\n")))
     elif op == "redesignate":
         for old, new in edit["pairs"]:
             at = inside([tuple(old)])
@@ -128,14 +142,27 @@ def apply_edit(text: str, edit: dict) -> tuple[str, str | None]:
             patches.append((a, a + len(old[1]) + 2, f"({new[1]})"))
     else:
         return text, "unsupported"
-    patches.sort()
-    if any(a[1] > b[0] for a, b in zip(patches, patches[1:])):
-        return text, "overlapping_patches"
-    for a, b, new in reversed(patches):
-        text = text[:a] + (_join(text[:a], new, text[b:]) if new and "\n" not in new else new) + text[b:]
+    # all are planned on one text; of overlapping ones the first is taken
+    chosen = sorted(patching.choose(patches))
+    chosen = [(a, b, _join(text[:a], new, text[b:]) if new and "\n" not in new else new) for a, b, new in chosen]
+    if shown is not None:
+        shown.apply(chosen)
+    for a, b, new in reversed(chosen):
+        text = text[:a] + new + text[b:]
     return text, None
 
 
+def one_snapshot(edits: list[dict]) -> list[dict]:
+    """Redesignations that follow each other in one place as one edit, so that (1) to (2) and (2) to (3) don't meet."""
+    out: list[dict] = []
+    for e in edits:
+        if e["op"] == "redesignate" and out and out[-1]["op"] == "redesignate" and out[-1].get("path") == e.get("path"):
+            out[-1] = {**out[-1], "pairs": [*out[-1]["pairs"], *e["pairs"]]}
+        else:
+            out.append(e)
+    return out
+
+
 def parse_instructions(instructions: DataFrame) -> DataFrame:
     """(bill_id, position, text) -> section path, edits as JSON, number of clauses that weren't read. Instructions without target are left out."""
 
@@ -145,19 +172,19 @@ def parse_instructions(instructions: DataFrame) -> DataFrame:
             for bill, k, text in zip(b["bill_id"], b["position"], b["text"]):
                 got = amendments.parse(text) if text else None
                 if got:
-                    rows.append((bill, k, f"/section/{got['title']}/{got['section']}", json.dumps(got["edits"]), len(got["unread"])))
+                    rows.append((bill, k, f"/section/{got['title']}/{got['section']}", json.dumps(one_snapshot(got["edits"])), len(got["unread"])))
             if rows:
                 yield pd.DataFrame(rows, columns=["bill_id", "position", "section_path", "edits", "unread"])
 
-    # the cheap test runs natively, so most paragraphs never reach Python
-    likely = instructions.where(F.substring("text", 1, 2000).rlike(r"\bamended\b"))
+    # the cheap test runs natively and over whole texts, so most paragraphs never reach Python
+    likely = instructions.where(F.col("text").rlike(r"\bamended\b"))
     return likely.select(F.col("bill_id").cast("string").alias("bill_id"), F.col("position").cast("int").alias("position"), "text").mapInPandas(parse, PARSED)
 
 
 def amend_sections(parsed: DataFrame, sections: DataFrame) -> DataFrame:
     """Apply each bill's edits to the sections (path, body) that they name, in order; one row per bill and section.
 
-    Edits see what earlier ones left.  A bill that names an unknown section gets a row with
+    Edits see what earlier ones left; shown has the amended text in parts that are the same, struck or inserted.  A bill that names an unknown section gets a row with
     null texts and the reason ``section_not_found``.
     """
     both = parsed.join(sections.select(F.col("path").alias("section_path"), "body"), "section_path", "left")
@@ -166,16 +193,17 @@ def amend_sections(parsed: DataFrame, sections: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("position")
         body = pdf["body"].iloc[0]
         edits = [(int(k), i, e) for k, es in zip(pdf["position"], pdf["edits"]) for i, e in enumerate(json.loads(es))]
-        issues, text, before = [], None, None
+        issues, text, before, parts = [], None, None, None
         if body is None:
             issues = [{"position": k, "edit": i, "reason": "section_not_found"} for k, i, _ in edits]
         else:
             before = text = plain(body)[0]
+            parts = patching.Shown(text)
             for k, i, e in edits:
-                text, why = apply_edit(text, e)
+                text, why = apply_edit(text, e, parts)
                 if why:
                     issues.append({"position": k, "edit": i, "reason": why})
-        return pd.DataFrame([{"bill_id": pdf["bill_id"].iloc[0], "section_path": pdf["section_path"].iloc[0], "before": before, "after": text, "n_edits": len(edits), "n_applied": len(edits) - len(issues), "issues": issues}])
+        return pd.DataFrame([{"bill_id": pdf["bill_id"].iloc[0], "section_path": pdf["section_path"].iloc[0], "before": before, "after": text, "n_edits": len(edits), "n_applied": len(edits) - len(issues), "issues": issues, "shown": [{"kind": a, "text": b} for a, b in parts.parts] if parts else None}])
 
     return both.select("bill_id", "section_path", "position", "edits", "body").groupBy("bill_id", "section_path").applyInPandas(run, AMENDED)
 

@@ -71,3 +71,8 @@ def first_known(read: DataFrame, matches: DataFrame, fetched: DataFrame, key: st
     """Ids that were read, with the text of an earlier match, else of what was fetched."""
     a, b = matches.select(key, F.col("text").alias("__a")), fetched.select(key, F.col("text").alias("__b"))
     return read.join(a, key, "left").join(b, key, "left").select(key, F.coalesce("__a", "__b").alias("text"))
+
+
+def citations(hits: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """What an answer may cite: the best hits, eight at least."""
+    return hits.orderBy(F.desc("score"), key).limit(max(8, k))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexwright.plans import lookup, parsers, retrieve, statutes, texts, tree, versions
+from lexwright.plans import edits, lookup, parsers, retrieve, statutes, texts, tree, versions
 
-_MODULES = [lookup, tree, versions, texts, retrieve, statutes, parsers]
+_MODULES = [lookup, tree, versions, texts, retrieve, statutes, parsers, edits]
 
 
 def queries() -> dict:
