@@ -123,7 +123,7 @@ def _statutes(spark, d):
     return S.table(spark, d, "documents").select("doc_id", text.alias("body"))
 
 
-_STATUTES = "(SELECT doc_id, 'See chapter ' || doc_id || 'A, section 7 and section ' || doc_id || 'b of chapter 12. RSA ' || doc_id || '-A:3-b or rsa 5:6; Section 44c, § 9. ' || substr(text, 1, 200) AS body FROM documents)"
+_STATUTES = "(SELECT doc_id, 'See chapter ' || doc_id || 'A, section 7 and section ' || doc_id || 'b of chapter 12. RSA ' || doc_id || '-A:3-b or rsa 5:6; Section 44c, § 9. ' || text AS body FROM documents)"
 
 
 def chapter_references(spark, d):
