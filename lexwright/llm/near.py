@@ -193,8 +193,8 @@ def classify(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_
     mixed = written(at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"), "mixed")
     open_ids = written(at.join(mixed, "key", "left_semi").select("doc_id", "component").distinct(), "open")
     raw_prefix = written(_prefixes(texts.join(open_ids.select("doc_id"), "doc_id", "left_semi"), s).join(open_ids, "doc_id"), "prefixes")
-    spread = raw_prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    # written, so that the join below reads tables on both sides and Spark can split a common token over tasks
+    # written, so that the joins read tables on both sides and Spark can split a common token over tasks
+    spread = written(raw_prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token"), "spread")
     prefix = written(raw_prefix.join(spread, "token", "left_semi"), "prefixes")
     left = prefix.select("token", F.col("doc_id").alias("a"), F.col("component").alias("x"), (F.col("n") - F.col("pos")).alias("rest_a"), F.col("n").alias("n_a"))
     right = prefix.select("token", F.col("doc_id").alias("b"), F.col("component").alias("y"), (F.col("n") - F.col("pos")).alias("rest_b"), F.col("n").alias("n_b"))
@@ -205,7 +205,7 @@ def classify(docs: DataFrame, s: Settings = Settings(), text: str = "text", doc_
 
     edges = links.unionAll(more).unionAll(copy_links)
     final = written(components(edges), "components")
-    forget(at, mixed, copies, banded, shared, members, stars, texts, links, labels, open_ids, raw_prefix, prefix, more)
+    forget(at, mixed, copies, banded, shared, members, stars, texts, links, labels, open_ids, raw_prefix, spread, prefix, more)
     out = sig.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
