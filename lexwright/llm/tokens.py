@@ -277,4 +277,5 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
                     sums += [zlib.crc32(memoryview(ids)[o[k] : o[k + 1]]) for k in range(b - a)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.select("shard", "start_in_shard", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # written at once, and so in small batches: blocks are large, and the JVM keeps what its largest batch took
+    return written(blocks.select("shard", "start_in_shard", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long"), "decoded")
