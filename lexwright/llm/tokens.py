@@ -34,7 +34,7 @@ _LONG_RUN = re.compile("[ \n]{3}|[ \n]{2}\\Z")
 _STEM = re.compile(f"([{_W}]?)(\\w+)([^\\w{_W}]*)")
 #: Units (a word with what sticks to it) and parts that a worker remembers; a part costs more to encode. The last full
 #: generation stays at hand, so that frequent ones are never lost.
-UNITS, PARTS = 500_000, 400_000
+UNITS, PARTS = 700_000, 400_000
 #: Longer pieces are encoded each time, so that what is remembered stays small.
 LONG = 200
 
@@ -90,6 +90,8 @@ class Encoder:
         return array("I", [t.id for t in self.tokenizer.model.tokenize(as_letters)]).tobytes()
 
     def _unit(self, text: str) -> bytes:
+        if len(text) <= LONG and (text[1:] if text[0] == " " else text).isalpha():
+            return self.parts[text]
         m = _STEM.fullmatch(text) if len(text) <= LONG else None
         if not m or not m[2].isalpha():
             return self.whole(text)
@@ -109,7 +111,8 @@ class Encoder:
         if len(self.parts) >= self.remember[1]:
             self.parts = self.parts.next()
         if _plain(text):
-            first, *rest = text.replace("\n", " \n").split(" ")
+            rest = iter(text.replace("\n", " \n").split(" "))
+            first = next(rest)
             return (self._unit(first) if first else b"") + b"".join(map(self.units.__getitem__, rest))
         return b"".join([self.units[u[1:]] if u[0] == " " and u[1:2] != "\n" else self._unit(u) for u in _UNIT.findall(text)])
 
