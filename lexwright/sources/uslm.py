@@ -197,12 +197,18 @@ def read_titles(files: DataFrame, volumes: bool = False) -> DataFrame:
     parser = parse_volume if volumes else parse_title
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
                 xml = first_xml(content) if content[:2] == b"PK" else content.decode("utf-8")
-                rows = list(parser(xml)) if xml and xml.lstrip().startswith("<") and "<html" not in xml[:500].lower() else []
-                if rows:
-                    yield pd.DataFrame(rows).assign(file=path)
+                if xml and xml.lstrip().startswith("<") and "<html" not in xml[:500].lower():
+                    for row in parser(xml):
+                        rows.append(row | {"file": path})
+                        if len(rows) >= 500:  # many small files share a batch, and a large one goes on in parts
+                            yield pd.DataFrame(rows)
+                            rows = []
+        if rows:
+            yield pd.DataFrame(rows)
 
     return files.select("path", "content").mapInPandas(parse, NODES + ", file string")
 
