@@ -70,7 +70,8 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     out, k = level.drop("up"), 0
     while True:
         k += 1
-        level = level.where("up IS NOT NULL").select("id", F.col("up").alias("ancestor_id")).join(parent, "ancestor_id").select("id", "ancestor_id", F.lit(k).alias("distance"), "up").localCheckpoint()
+        above = level.where("up IS NOT NULL").select("id", F.col("up").alias("ancestor_id")).join(parent, "ancestor_id")
+        level = written(above.select("id", "ancestor_id", F.lit(k).alias("distance"), "up"), "ancestors")
         left, around = level.agg(F.count("*"), F.count(F.when(F.col("id") == F.col("ancestor_id"), 1))).first()
         if around:
             raise ValueError(f"{around} nodes are their own ancestors, {k} levels up")
