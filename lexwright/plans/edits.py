@@ -44,7 +44,8 @@ def grammar_parses(spark, d):
 
 def _sections(spark, d):
     x = _docs(spark, d)
-    body = F.concat(F.lit("**(a)** The rate is "), "i", F.lit(".\n\n> **(1)** one "), "words", F.lit(";\n\n> **(2)** two;\n\n> **(3)** three.\n\n**(b)** End."))
+    # a text without words (null, empty, signs alone) leaves no blank behind "one"
+    body = F.concat(F.lit("**(a)** The rate is "), "i", F.lit(".\n\n> "), F.trim(F.concat(F.lit("**(1)** one "), "words")), F.lit(";\n\n> **(2)** two;\n\n> **(3)** three.\n\n**(b)** End."))
     return x, x.select(F.concat(F.lit("/section/7/"), "i").alias("path"), body.alias("body"))
 
 
