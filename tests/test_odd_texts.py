@@ -15,7 +15,7 @@ def odd_dir(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["moved_paragraphs", "redesignated"])
+@pytest.mark.parametrize("name", ["moved_paragraphs", "redesignated", "shown_edits"])
 def test_texts_without_words(spark, odd_dir, name):
     df = registry.queries()[name](spark, odd_dir)
     con = duckdb.connect()
