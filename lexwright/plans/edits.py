@@ -89,7 +89,9 @@ def patches_per_operation(spark, d):
 def first_attempts(spark, d):
     """Orders as issues, each with the first line that was shipped as its attempt; those without one stay."""
     o = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("issue"))
-    a = S.table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("issue")).agg(F.min_by("l_partkey", F.struct("l_shipdate", "l_linenumber")).alias("attempt"))
+    # of lines with one date and number the one that stands first in the table; as in SQL, nulls come last
+    place = F.struct(F.col("l_shipdate").isNull(), "l_shipdate", F.col("l_linenumber").isNull(), "l_linenumber", "_metadata.file_name", "_metadata.row_index")
+    a = S.table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("issue")).agg(F.min_by("l_partkey", place).alias("attempt"))
     return o.join(a, "issue", "left")
 
 

@@ -1,4 +1,4 @@
-"""Queries against their SQL on texts that the given tables don't hold: null, empty, without a word."""
+"""Queries against their SQL on rows that the given tables don't hold: texts null, empty or without a word; equal and null dates."""
 
 import duckdb
 import pytest
@@ -23,3 +23,12 @@ def test_texts_without_words(spark, odd_dir, name):
     want = con.sql(registry.oracle_sql()[name])
     assert df.columns == want.columns
     assert sorted(tuple(r) for r in df.collect()) == sorted(want.fetchall())
+
+
+def test_first_attempts_of_one_date(spark, tmp_path):
+    """Lines of one date and number: the one that stands first in the table; nulls come last, as in the SQL."""
+    lines = [(1, 10, 1, "2020-01-02"), (1, 11, 1, "2020-01-02"), (2, 20, 1, None), (2, 21, 3, "2021-01-01"), (2, 22, None, "2021-01-01"), (3, 30, 2, "2020-01-01"), (3, 31, 1, "2020-01-01")]
+    rows = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, day string").selectExpr("l_orderkey", "l_partkey", "l_linenumber", "'R' AS l_returnflag", "to_timestamp(day) AS l_shipdate")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 5).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(tuple(r) for r in registry.queries()["first_attempts"](spark, str(tmp_path)).collect()) == [(1, 10), (2, 21), (3, 31), (4, None)]
