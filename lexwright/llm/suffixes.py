@@ -161,7 +161,7 @@ def pack_block(ids: list, parts: list[bytes]) -> bytes:
     known = bytes(d is not None for d in ids)
     named = np.array([0 if d is None else d for d in ids], "<i8").tobytes()
     sizes = np.array([len(p) for p in parts], "<i8").tobytes()
-    return zstandard.compress(struct.pack("<q", len(ids)) + known + named + sizes + b"".join(parts), 1)
+    return zstandard.compress(struct.pack("<q", len(ids)) + known + named + sizes + b"".join(parts), 2)
 
 
 def open_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -544,10 +544,10 @@ def dedup_bytes(docs: DataFrame, s: Settings = Settings(), text: str = "text", d
     dealt = lambda: blocks.repartition(parts, "block")
     told = blocks.mapInArrow(_told(buckets, s), "bucket long, block long, data binary").repartition(parts, "bucket")
     answers = told.mapInArrow(_shared(s), "block long, data binary").repartition(parts, "block")
-    answers = written(answers.groupBy("block").agg(F.collect_list("data").alias("answers")), "answers")
+    answers = written(answers.groupBy("block").agg(F.collect_list("data").alias("answers")), "answers", spent=True)
     sent = dealt().join(answers.repartition(parts, "block"), "block").mapInArrow(_sent(buckets, s), "bucket long, block long, data binary").repartition(parts, "bucket")
     flags = sent.mapInArrow(_decided(s), "block long, data binary").repartition(parts, "block")
-    flags = written(flags.groupBy("block").agg(F.collect_list("data").alias("answers")), "flags")
+    flags = written(flags.groupBy("block").agg(F.collect_list("data").alias("answers")), "flags", spent=True)
     forget(answers)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * with_text
     return dealt().join(flags.repartition(parts, "block"), "block", "left").mapInArrow(_finished(s, with_text), schema)

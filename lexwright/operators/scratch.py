@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,30 +30,38 @@ def scratch(spark: SparkSession) -> str:
 
 
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPENT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
-    """While a table is written its Python workers get their rows in batches of so many bytes; the setting is then as before."""
-    before = spark.conf.get(_BYTES, None)
-    spark.conf.set(_BYTES, size)
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for as long as a table is written; it is then as before."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_BYTES)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(_BYTES, before)
+            spark.conf.set(name, before)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """While a table is written its Python workers get their rows in batches of so many bytes."""
+    return setting(spark, _BYTES, size)
+
+
+def written(df: DataFrame, tag: str, spent: bool = False) -> DataFrame:
     """The rows of df as a Parquet table in the scratch folder.
 
     Unlike a cache it outlives executors, and unlike a localCheckpoint every executor can read it.
+    With spent the files that were shuffled for it go as soon as it is written, and not at some later collection
+    of the driver's garbage; df must not stand on a cache.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with small_batches(spark), setting(spark, _SPENT, "true") if spent else nullcontext():
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path

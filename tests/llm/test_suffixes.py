@@ -95,3 +95,26 @@ def test_tables(spark, sf_dir):
     want = [x[:5] for x in brute([(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()])]
     assert sorted(map(tuple, suffixes.dedup_bytes(d).collect()), key=str) == sorted(want, key=str)
     assert suffixes.dedup_bytes(d.limit(0)).count() == 0
+
+
+def test_spent_shuffles_go(spark):
+    """What was shuffled for the tables of the first passes is gone when they are written; it counts as disk."""
+    import time
+
+    from lexwright.llm.suffixes import dedup_bytes
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size())}
+
+    docs = spark.createDataFrame([(k, f"{k} starts here. " + "the same words stand in each of these texts, at some length. " * 3) for k in range(40)], "doc_id long, text string").repartition(4)
+    before = files()
+    out = dedup_bytes(docs)
+    left = True
+    for _ in range(20):
+        left = {f for f in files() - before if f.startswith("shuffle_")}
+        if not left:
+            break
+        time.sleep(0.25)
+    assert not left
+    assert {r.doc_id: r.n_removed > 100 for r in out.collect()} == {k: k > 0 for k in range(40)}
