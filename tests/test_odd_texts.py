@@ -32,3 +32,13 @@ def test_first_attempts_of_one_date(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.range(1, 5).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
     assert sorted(tuple(r) for r in registry.queries()["first_attempts"](spark, str(tmp_path)).collect()) == [(1, 10), (2, 21), (3, 31), (4, None)]
+
+
+@pytest.mark.parametrize("name", ["moved_paragraphs", "redesignated"])
+def test_repeated_ids(spark, tmp_path, name):
+    """Documents of one id, alike or not: each is amended once, by one instruction."""
+    rows = [(1, "a b"), (1, "a b"), (2, "c"), (2, "d"), (2, None), (3, "e")]
+    spark.createDataFrame([(k, t, "en", "src0", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()) == sorted(con.sql(registry.oracle_sql()[name]).fetchall())
